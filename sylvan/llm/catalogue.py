@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm import mixing, rules
+from sylvan.llm import mixing, packing, repair, rules
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -52,7 +52,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     first = F.get("positions", F.lit(0))["position"]
-    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).repartitionByRange("first_position").sortWithinPartitions("first_position")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position")
 
 
 OP8_SQL = r"""
@@ -84,5 +84,13 @@ SELECT doc_id, size, source_size, target, (first_words + again_words)::BIGINT AS
 FROM y
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
+def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.through_files(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
 SQL = {"op3_quality_rules": _op3_sql(), "op8_mixing": OP8_SQL}
