@@ -1,0 +1,29 @@
+"""Connected components of a link table, as a loop of joins over checkpointed tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from sylvan.session import cut
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, label) for every node of (a, b); label is the smallest node of its component.
+
+    Each round a node takes the smallest label among its own and its neighbours', then its label's label,
+    so the number of rounds grows with the logarithm of the longest path. All joins are on checkpointed
+    tables with an exchange on both sides, so a node with very many links is split by the skew join; the
+    minimum over neighbours is pre-aggregated before its exchange. Nothing but a count reaches the driver.
+    """
+    links = links.select("a", "b").where("a is not null and b is not null and a <> b")
+    edges = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    for _ in range(most_rounds):
+        near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
+        step = cut(labels.join(near.withColumnRenamed("b", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        labels = cut(step.join(jump, "label").select("node", "was", F.least("label", "above").alias("label")))
+        if labels.where("was <> label").isEmpty():
+            return labels.select("node", "label")
+        labels = labels.select("node", "label")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

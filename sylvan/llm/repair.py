@@ -35,7 +35,9 @@ from sylvan.llm import tokens
 from sylvan.session import table_path
 
 MAGIC = b"RPGRAM01"
-ROUNDS, WIDTH, LEAST = 4, 16384, 8
+ROUNDS, WIDTH, LEAST = 3, 32000, 8
+#: Cells of a table over left and right symbols, beyond which pairs are found by binary search.
+TABLE = 1 << 24
 #: Tokens after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1_000_000
 SHARDS = "part int, shard int, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary"
@@ -90,18 +92,38 @@ def _apart(at: np.ndarray) -> np.ndarray:
     return (place - start) % 2 == 0
 
 
+def _occurrences(seq: np.ndarray, last: np.ndarray, chosen: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a chosen pair begins, and which one; chosen is sorted."""
+    a, b = chosen >> 32, chosen & 0xFFFFFFFF
+    row, column = np.full(top, -1, np.int32), np.full(top, -1, np.int32)
+    lefts, rights = np.unique(a), np.unique(b)
+    row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
+    r, c = row[seq[:-1]], column[seq[1:]]
+    at = np.flatnonzero((r >= 0) & (c >= 0) & ~last[:-1])
+    if len(lefts) * len(rights) <= TABLE:
+        table = np.full((len(lefts), len(rights)), -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
+        table[row[a], column[b]] = np.arange(len(chosen))
+        rule = table[r[at], c[at]].astype(np.int64)
+        hit = rule >= 0
+    else:
+        key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        rule = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+        hit = chosen[rule] == key
+    return at[hit], rule[hit]
+
+
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, rounds: int = ROUNDS, width: int = WIDTH, least: int = LEAST) -> Shard:
     """The grammar of one shard. ``ids`` are all documents' ids, ``doc_tokens`` how many each has."""
     base = int(ids.max()) + 1 if len(ids) else 1
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_tokens)[doc_tokens > 0] - 1] = True
     rules, lengths, top = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], base
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        ordered = np.sort(key[~last[:-1]])
+        ordered = ((seq[:-1].astype(np.int64) << 32) | seq[1:])[~last[:-1]]
+        ordered.sort()
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
         pair, count = ordered[edge], np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(count >= least)
@@ -110,13 +132,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, rounds: int
         if len(often) > width:
             often = often[np.argsort(-count[often], kind="stable")[:width]]
         chosen = np.sort(pair[often])
-        left, right = np.zeros(top, bool), np.zeros(top, bool)
-        left[chosen >> 32] = True
-        right[chosen & 0xFFFFFFFF] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & ~last[:-1])
-        rule = np.searchsorted(chosen, key[at])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == key[at]
-        at, rule = at[hit], rule[hit]
+        at, rule = _occurrences(seq, last, chosen, top)
         taken = _apart(at)
         rare = np.bincount(rule[taken], minlength=len(chosen)) < least
         if rare.any():
@@ -124,7 +140,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, rounds: int
             at, rule = at[common], rule[common]
             taken = _apart(at)
         at, rule = at[taken], rule[taken]
-        names, new = np.unique(rule, return_inverse=True)
+        used = np.bincount(rule, minlength=len(chosen)) > 0
+        names, new = np.flatnonzero(used), (np.cumsum(used) - 1)[rule]
         if not len(names):
             break
         both = np.stack([chosen[names] >> 32, chosen[names] & 0xFFFFFFFF], axis=1)
