@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm import mixing, neardup, packing, repair, rules
+from sylvan.llm import mixing, neardup, packing, repair, rules, topk
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -17,6 +17,22 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -96,5 +112,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_dart_minhash": op1_dart_minhash, "op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
-SQL = {"op3_quality_rules": _op3_sql(), "op8_mixing": OP8_SQL}
+QUERIES = {"op2_branch_and_bound": op2_branch_and_bound, "op1_dart_minhash": op1_dart_minhash, "op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
+SQL = {"op2_branch_and_bound": OP2_SQL, "op3_quality_rules": _op3_sql(), "op8_mixing": OP8_SQL}
