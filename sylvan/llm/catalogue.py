@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm import mixing, neardup, packing, repair, rules, topk
+from sylvan.llm import mixing, neardup, packing, repair, rules, topk, warc
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -112,5 +112,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_branch_and_bound": op2_branch_and_bound, "op1_dart_minhash": op1_dart_minhash, "op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
-SQL = {"op2_branch_and_bound": OP2_SQL, "op3_quality_rules": _op3_sql(), "op8_mixing": OP8_SQL}
+def op10_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.through_archives(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha256(b) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to FROM m
+"""
+
+
+QUERIES = {"op10_index_merge": op10_index_merge, "op2_branch_and_bound": op2_branch_and_bound, "op1_dart_minhash": op1_dart_minhash, "op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
+SQL = {"op10_index_merge": OP10_SQL, "op2_branch_and_bound": OP2_SQL, "op3_quality_rules": _op3_sql(), "op8_mixing": OP8_SQL}
