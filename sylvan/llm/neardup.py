@@ -38,6 +38,8 @@ from sylvan.session import cut, via_table
 
 #: Five words, similarity of 0.8; 32 bands of 6 coordinates miss a pair at 0.8 with probability 6e-5.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
+#: Texts whose darts are thrown at once; a text has about k ln k + 2k of them however short it is.
+DART_TEXTS = 64
 _SEEDS = [T.seeded(s) for s in range(8)]
 
 
@@ -55,12 +57,16 @@ _POISSON = _poisson_table()
 
 
 def dart_signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
-    """(n, k) DartMinHash values of n weighted sets given as parallel arrays; sets without elements get all ones.
+    """(n, k) DartMinHash values of n weighted sets given as parallel arrays, in order of owner; sets without elements get all ones.
 
     The plane of an element is cut into unit cells; a cell's number of darts is Poisson of mean 1 and each
     dart has a weight, a rank and a coordinate, all from hashes of (element, cell, number). A value is the
     rank, in 1/2**44, which tells darts apart.
     """
+    if n > DART_TEXTS:
+        cuts = np.searchsorted(owner, np.arange(0, n + DART_TEXTS, DART_TEXTS))
+        parts = [(element[a:b], weight[a:b], owner[a:b] - i * DART_TEXTS, min(DART_TEXTS, n - i * DART_TEXTS), k) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+        return np.concatenate([dart_signatures(*x) for x in parts if x[3] > 0])
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * k, empty, np.uint64)
     size = np.bincount(owner, weight, n)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone, whole.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 _ODD, _P, _GOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 0x9E3779B97F4A7C15
 
 

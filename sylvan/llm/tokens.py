@@ -146,7 +146,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text as int32."""
-        if self.n > MOST_WORDS - T.STEP_BYTES // 8:
+        if self.n > MOST_WORDS - T.STEP_BYTES // 2:
             self._forget()
         docs, whole = len(offsets) - 1, self._must_go_whole(data, offsets)
         cut = np.zeros(len(data) + 1, bool)
@@ -166,7 +166,7 @@ class Encoder:
             at, raw = unknown[first], data.tobytes()
             if self.n + len(new) > MOST_WORDS:  # a text with more new words than the memory has room for
                 self._forget()
-                return self.encode(data, offsets) if len(new) < MOST_WORDS - T.STEP_BYTES // 8 else [np.array(x, np.int32) for x in self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])]
+                return self.encode(data, offsets) if len(new) < MOST_WORDS - T.STEP_BYTES // 2 else [np.array(x, np.int32) for x in self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])]
             fresh = self._learn([raw[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())])
             self._put(new, fresh.astype(np.int32))
             code[unknown] = fresh[back]
@@ -190,5 +190,5 @@ def encoded(column, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(place, ids) of each text of an Arrow column in order, some at a time; null is taken as empty."""
     data, offsets = T.utf8(column)
     own = encoder(path)
-    for a, b in T.steps(offsets, T.STEP_BYTES // 2):
+    for a, b in T.steps(offsets):
         yield from zip(range(a, b), own.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
