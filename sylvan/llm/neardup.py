@@ -173,13 +173,15 @@ def signatures(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, n long, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(a, b, similarity) of each pair of fingerprints, from the window sets of one text of each.
+def node_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(fp, text): one text of each node in ``needed`` (fp, doc_id), the only texts that move."""
+    of = needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc"))
+    texts = fingerprinted(docs.select("doc_id", "text")).join(of, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return via_table(texts.select(F.col("_fp").alias("fp"), "text").dropDuplicates(["fp"]), "texts")
 
-    Texts are fetched for the nodes in ``needed`` (fp, doc_id) only, once each.
-    """
-    texts = fingerprinted(docs.select("doc_id", "text")).join(needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc")), "_fp").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = via_table(texts.select(F.col("_fp").alias("fp"), "text").dropDuplicates(["fp"]), "texts")
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of each pair of fingerprints, from the window sets of their texts."""
     rows = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
 
     def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +220,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Fa
     size = nodes.select(F.col("fp").alias("b"), F.col("n").alias("m"))
     pairs = member.join(hubs, "key").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"), "n").distinct()
     pairs = cut(pairs.join(size, "b").where(fits).select("a", "b"))
-    needed = lambda p: p.select(F.col("a").alias("fp")).union(p.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "doc_id"), "fp")
-    links = cut(verified(pairs, docs, needed(pairs)).where(F.col("similarity") >= similarity).select("a", "b"))
+    texts = node_texts(docs, company.join(nodes.select("fp", "doc_id"), "fp"))
+    links = cut(verified(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b"))
     label = components(links)
     rest = _undecided(member, label).join(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     rest = cut(rest.where(fits).select("a", "b").distinct())
     if not rest.isEmpty():
-        more = verified(rest, docs, needed(rest)).where(F.col("similarity") >= similarity).select("a", "b")
+        more = verified(rest, texts).where(F.col("similarity") >= similarity).select("a", "b")
         label = components(cut(links.union(more)))
     joined = nodes.select("fp", "doc_id").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("class"), "doc_id")
     return sig.select("doc_id", "fp"), cut(joined)
