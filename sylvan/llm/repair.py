@@ -53,18 +53,31 @@ class Shard:
     symbols: np.ndarray  # of each document
     sequence: np.ndarray
 
+    def __post_init__(self) -> None:
+        self._flat: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols' expansions one after the other, ids first, and where each begins."""
+        if self._flat is None:
+            seq = np.arange(self.base, self.base + len(self.rules))
+            while len(at := np.flatnonzero(seq >= self.base)):
+                n = np.ones(len(seq), np.int64)
+                n[at] = 2
+                place = np.cumsum(n) - n
+                out = np.empty(int(n.sum()), np.int64)
+                out[place] = seq
+                pair = self.rules[seq[at] - self.base]
+                out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
+                seq = out
+            begin = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.lengths) - self.lengths])
+            self._flat = np.concatenate([np.arange(self.base), seq]).astype(np.int32), begin
+        return self._flat
+
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        seq = seq.astype(np.int64)
-        while len(at := np.flatnonzero(seq >= self.base)):
-            n = np.ones(len(seq), np.int64)
-            n[at] = 2
-            place = np.cumsum(n) - n
-            out = np.empty(int(n.sum()), np.int64)
-            out[place] = seq
-            pair = self.rules[seq[at] - self.base]
-            out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-            seq = out
-        return seq.astype(np.int32)
+        flat, begin = self._expansions()
+        n = np.concatenate([np.ones(self.base, np.int64), self.lengths])[seq]
+        ends = np.cumsum(n)
+        return flat[np.repeat(begin[seq] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def document(self, k: int) -> np.ndarray:
         at = int(self.symbols[:k].sum())
@@ -87,23 +100,25 @@ def _apart(at: np.ndarray) -> np.ndarray:
     """Which of the places, going left to right in each run of neighbours, are taken without overlaps."""
     if not len(at):
         return np.empty(0, bool)
-    place = np.arange(len(at))
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1] + 1]), place, 0))
-    return (place - start) % 2 == 0
+    place = np.arange(len(at), dtype=np.int32)
+    start = place.copy()
+    start[1:][at[1:] == at[:-1] + 1] = 0
+    return ((place - np.maximum.accumulate(start)) & 1) == 0
 
 
 def _occurrences(seq: np.ndarray, last: np.ndarray, chosen: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a chosen pair begins, and which one; chosen is sorted."""
     a, b = chosen >> 32, chosen & 0xFFFFFFFF
     row, column = np.full(top, -1, np.int32), np.full(top, -1, np.int32)
-    lefts, rights = np.unique(a), np.unique(b)
+    row[a], column[b] = 0, 0
+    lefts, rights = np.flatnonzero(row == 0), np.flatnonzero(column == 0)
     row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
     r, c = row[seq[:-1]], column[seq[1:]]
-    at = np.flatnonzero((r >= 0) & (c >= 0) & ~last[:-1])
+    at = np.flatnonzero(((r | c) >= 0) & ~last[:-1])
     if len(lefts) * len(rights) <= TABLE:
         table = np.full((len(lefts), len(rights)), -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
         table[row[a], column[b]] = np.arange(len(chosen))
-        rule = table[r[at], c[at]].astype(np.int64)
+        rule = table.reshape(-1)[r[at] * np.int32(len(rights)) + c[at]]
         hit = rule >= 0
     else:
         key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
@@ -122,7 +137,8 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, rounds: int
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        ordered = ((seq[:-1].astype(np.int64) << 32) | seq[1:])[~last[:-1]]
+        ordered = seq.astype(np.int64)
+        ordered = ((ordered[:-1] << 32) | ordered[1:])[~last[:-1]]
         ordered.sort()
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
         pair, count = ordered[edge], np.diff(np.append(edge, len(ordered)))
