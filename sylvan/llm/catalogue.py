@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvan.llm import mixing, neardup, packing, pii, repair, rules, topk, warc
+from sylvan.llm import mixing, neardup, packing, pii, quality, repair, rules, topk, toxicity, warc
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -134,5 +134,13 @@ def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {"op4_feistel_pii": op4_feistel_pii, "op10_index_merge": op10_index_merge, "op2_branch_and_bound": op2_branch_and_bound, "op1_dart_minhash": op1_dart_minhash, "op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op6_boosted_toxicity": op6_boosted_toxicity, "op9_random_indexing": op9_random_indexing, "op4_feistel_pii": op4_feistel_pii, "op10_index_merge": op10_index_merge, "op2_branch_and_bound": op2_branch_and_bound, "op1_dart_minhash": op1_dart_minhash, "op5_repair": op5_repair, "op7_packing": op7_packing, "op3_quality_rules": op3_quality_rules, "op8_mixing": op8_mixing}
 SQL = {"op10_index_merge": OP10_SQL, "op2_branch_and_bound": OP2_SQL, "op3_quality_rules": _op3_sql(), "op8_mixing": OP8_SQL}
