@@ -1,10 +1,11 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
-Features: densities of two lexicons (a fixed one, and one learnt from half of the labelled sample),
+Features: densities of two lexicons (a fixed one, and one learnt from the labelled sample; each half of the
+sample is measured with the words learnt from the other half, so that the trees see what they are worth),
 how near second-person words stand to a lexicon word, capitals, punctuation, and obfuscation (lexicon words
 found only after dropping symbols or reading digits as letters, and words with symbols inside). Each text is
-measured whole, in numpy on flat bytes. Trees are fitted by histograms on the other half of the sample, three
-quarters of it; on the last quarter, isotonic regression maps their output to probabilities.
+measured whole, in numpy on flat bytes. Trees are fitted by histograms on three quarters of the sample; on
+the last quarter, isotonic regression maps their output to probabilities.
 
 The fitted model has a fixed size (trees, calibration knots, a lexicon of at most ``LEARNT`` words' hashes)
 and alone is broadcast. Scoring is one narrow pass.
@@ -36,7 +37,7 @@ LEXICON = (
 SECOND_PERSON = "you your yours yourself u du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros".split()
 NEAR = 3
 #: Words learnt at most, from how many toxic documents at least, with what log odds at least.
-LEARNT, LEAST_DOCS, LEAST_ODDS = 200, 8, 2.5
+LEARNT, LEAST_DOCS, LEAST_ODDS = 200, 4, 3.0
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 48, 0.15, 20
 NAMES = (
     "fixed_share fixed_count learnt_share learnt_count near_person persons capital_letters capital_words exclaims questions "
@@ -239,19 +240,22 @@ def _learn_words(sample: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = learn.MOST_ROWS) -> Boosted:
     sample = cut(learn.labelled_sample(docs, labels, target, most))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    learnt = _learn_words(sample.where(half == 0))
+    sample = sample.withColumn("half", half.cast("int"))
+    of_other = [_learn_words(sample.where(F.col("half") == 1)), _learn_words(sample.where(F.col("half") == 0))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.utf8(batch.column(1))
+            own = np.array(batch.column(3).to_pylist(), np.int64)
             for a, b in T.steps(offsets):
-                x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], learnt)
+                x, y = (features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words) for words in of_other)
+                x = np.where(own[a:b, None] == 0, x, y)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(2).slice(a, b - a), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    rows = sample.where(half == 1).mapInArrow(run, "doc_id long, label int, x binary").collect()  # at most ``most`` rows
+    rows = sample.select("doc_id", "text", "label", "half").mapInArrow(run, "doc_id long, label int, x binary").collect()  # at most ``most`` rows
     rows.sort(key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, len(NAMES))
-    return Boosted(learnt).fit(x, np.array([r["label"] for r in rows], np.float64))
+    return Boosted(_learn_words(sample)).fit(x, np.array([r["label"] for r in rows], np.float64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = learn.MOST_ROWS) -> DataFrame:
