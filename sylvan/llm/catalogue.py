@@ -113,7 +113,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.through_archives(_table(spark, sf_dir, "pages"))
+    out = warc.through_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

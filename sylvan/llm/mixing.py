@@ -14,7 +14,7 @@ range meet in a window. A source that holds a third of all rows is thus spread o
 Defined results. Null text: size 0. Null source: a source of its own, after all others. Null doc_id:
 ordered as the empty id. Repeated rows: each is a document of its own; ties in md5 go by doc_id, then
 size. A source without words has target 0 and takes nothing. Empty table: no rows. Columns of the
-input are carried along untouched; a clash with a column made here raises ``ValueError``.
+input are carried along untouched; one with the name of a column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sylvan.llm.columns import without
+
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN = ("size", "source_size", "target", "taken", "positions", "_ord", "_bucket", "_start", "_at")
+_OWN = ("size", "source_size", "target", "taken", "positions", "position", "_ord", "_bucket", "_start", "_at", "_s", "_b", "_turn", "_spot")
 
 
 def ramp(slope: float) -> list[tuple[float, float]]:
@@ -92,8 +94,7 @@ def plan_mix(
     the stream [0, target) that falls on the document, over all readings, so each source's words meet
     its rounded target exactly and only the document at the end of the stream is taken in part.
     """
-    if clash := set(docs.columns) & set(_OWN):
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
+    docs = without(docs, _OWN)
     if len(schedules) != len(weights):
         raise ValueError("one schedule for each weight")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

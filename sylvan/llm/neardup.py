@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import text as T
+from sylvan.llm.columns import without
 from sylvan.llm.graph import components
 from sylvan.session import cut, via_table
 
@@ -131,6 +132,7 @@ def _nodes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """All columns, and ``_fp``, the fingerprint of the words; null where there are none."""
+    docs = without(docs, ["_fp"])
     names = docs.columns
     at = names.index("text")
 
@@ -257,6 +259,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weight
     _, nodes = classes(docs, similarity, weighted)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")).alias("k")
     keep = cut(nodes.groupBy("class").agg(first).select(F.col("k.fp").alias("_fp"), F.col("k.doc_id").alias("_doc")))
-    marked = fingerprinted(docs)
+    marked = fingerprinted(without(docs, ["_of", "_doc"]))
     kept = marked.join(keep.withColumnRenamed("_fp", "_of"), (F.col("_fp") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["_fp", "doc_id"])
-    return kept.select(*docs.columns).union(marked.where("_fp is null").select(*docs.columns))
+    return kept.select(*marked.columns[:-1]).union(marked.where("_fp is null").select(*marked.columns[:-1]))

@@ -107,8 +107,8 @@ class SumOfSquares:
         self._join(last=True)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, most_open: int = 4096) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, most_open: int = 4096, with_ids: bool = False) -> DataFrame:
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ids if asked for."""
     path = tokenizer or tokens.tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,27 +116,34 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         number = TaskContext.get().partitionId() * PER_PARTITION
         end = np.array([end_id], np.int32)
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+        if with_ids:
+            schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
 
         def rows() -> pa.RecordBatch:
             nonlocal number
-            out = []
+            out, pieces = [], []
             for window in packer.closed:
                 offset = 0
                 for (doc, n), start, ids in window:
                     out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, offset))
+                    pieces.append(ids)
                     offset += len(ids)
                 number += 1
             packer.closed = []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], schema=schema)
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces) if pieces else np.empty(0, np.int32))))
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for i, ids in tokens.encoded(batch.column(1), path):
                 packer.add((doc_ids[i], len(ids) + 1), np.concatenate([ids, end]))
-                if len(packer.closed) >= 4096:
+                if len(packer.closed) >= 1024:
                     yield rows()
             yield rows()
         packer.finish()
         yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)

@@ -18,7 +18,7 @@ The key is a parameter; who has it can invert every pseudonym, so it isn't a con
 All of it is one narrow projection over whole texts. Texts without a digit or @ skip the work.
 
 Defined results. Null text: null, no finds. Empty text: itself. Repeated rows: each on its own, alike. Empty
-table: no rows. Other columns are carried along; a clash with the new columns raises ``ValueError``.
+table: no rows. Other columns are carried along; one with the name of a column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sylvan.llm.columns import without
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
@@ -224,7 +226,6 @@ def pseudonymised(text: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The documents with valid personal data replaced in ``text``, and ``n_pseudonyms``."""
-    if clash := set(docs.columns) & {"n_pseudonyms", "_p"}:
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
+    docs = without(docs, ["n_pseudonyms", "_p"])
     rows = docs.withColumn("_p", pseudonymised(F.col("text"), key))
     return rows.select(*[F.col("_p.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_p.n").alias("n_pseudonyms"))

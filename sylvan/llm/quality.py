@@ -13,7 +13,8 @@ fitted on a fifth of the sample that the network doesn't see, makes its output a
 
 Defined results. Null or empty text: the vector of zeros, which has a score too. Null label or doc_id: not
 learnt from. Repeated rows: scored alike. No labels of both kinds: every score is the share of 1 among
-those there are, 0.5 without any. Empty table: no rows. Other columns are carried along by ``classify``.
+those there are, 0.5 without any. Empty table: no rows. Other columns are carried along by ``classify``; one
+that is named score gives way.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import learn, text as T
+from sylvan.llm.columns import without
 
 BUCKETS, DIM, NONZERO, REACH, SLICE = 1 << 15, 64, 4, 2, 128
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 40, 3e-3, 1e-4, 256
@@ -210,8 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = learn.MOST_ROWS) -> DataFrame:
     """The documents with ``score``, the probability of label 1."""
-    if "score" in docs.columns:
-        raise ValueError("column of the input clashes: score")
+    docs = without(docs, ["score"])
     vectors, network = fit(docs, labels, target, most)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     at, names = docs.columns.index("text"), [*docs.columns, "score"]

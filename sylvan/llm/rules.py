@@ -9,8 +9,8 @@ that occur twice or more in the text, found by hashing each window (64 bits over
 hashes) and only for the texts with a repeated hash by sorting the windows.
 
 Defined results. Null text: every count 0, fails the base rule. Empty text: the same. Repeated rows and
-ties: each row on its own. Empty table: no rows. Other columns are carried along; a clash with a
-measure's name raises ``ValueError``.
+ties: each row on its own. Empty table: no rows. Other columns are carried along; one with the name of a
+column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sylvan.llm.columns import without
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -107,8 +109,7 @@ def verdict(m: Column, table: tuple[Rule, ...] = THRESHOLDS) -> Column:
 def quality_rules(docs: DataFrame, table: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """The documents with their counts, ``base_failed`` and ``kept``."""
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept", "_m"]
-    if clash := set(docs.columns) & set(names):
-        raise ValueError(f"columns of the input clash: {sorted(clash)}")
+    docs = without(docs, names)
     m = F.col("_m")
     failed = (m["n_words"] < LEAST_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(MOST_REPEATED) * m["n_words"])
     return docs.withColumn("_m", measures(F.col("text"))).select(*docs.columns, *[m[n].alias(n) for n in names[:7]], failed.alias("base_failed"), (~failed & verdict(m, table)).alias("kept"))

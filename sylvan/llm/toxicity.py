@@ -12,7 +12,8 @@ and alone is broadcast. Scoring is one narrow pass.
 
 Defined results. Null or empty text: all features 0, which have a score too. Null label or doc_id: not learnt
 from. Repeated rows: scored alike. No labels of both kinds: every score is the share of 1 among those there
-are, 0.5 without any. Empty table: no rows. Other columns are carried along by ``classify``.
+are, 0.5 without any. Empty table: no rows. Other columns are carried along by ``classify``; one that is
+named score gives way.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import learn, text as T
+from sylvan.llm.columns import without
 from sylvan.session import cut
 
 #: Insults in the four languages of the corpus.
@@ -260,8 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = l
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = learn.MOST_ROWS) -> DataFrame:
     """The documents with ``score``, the probability of label 1."""
-    if "score" in docs.columns:
-        raise ValueError("column of the input clashes: score")
+    docs = without(docs, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target, most))
     at, names = docs.columns.index("text"), [*docs.columns, "score"]
 
