@@ -1,12 +1,585 @@
-"""Named queries over the driver's tables, with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, with the SQL that gives the same rows.
+
+Three shared inputs: E, all embeddings as points; T, a caterpillar tree of nations for every part brand, by
+falling revenue; A, an alignment for every market segment, with a nation a row and a month of orders a
+column, coded by the number of orders. All run over whole tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from sylvan.functions import scalars
+from sylvan.operators import align, cem, connect, matrix, pairs, partition, placement, trees
+
+EPS, LEAST, HEIGHT, K = 1.19, 3, 1.15, 7
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    """Rounded to six places, without negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+# ---------------------------------------------------------------- E: points, distances, neighbours
+
+E_SQL = """
+WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, label FROM embeddings),
+dm AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.id < b.id),
+sq AS (SELECT i, j, d FROM dm UNION ALL SELECT j, i, d FROM dm UNION ALL SELECT id, id, 0.0::DOUBLE FROM e)"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
+
+
+def dm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairwise_euclid(points(spark, sf_dir))
+
+
+def square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.full(matrix.cut(dm(spark, sf_dir)), nodes(spark, sf_dir))
+
+
+def labels_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.canonical(points(spark, sf_dir).select(F.col("id").alias("elem"), "label"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Distances, neighbour mask, its components as canonical groups, and each element's silhouette."""
+    sq = matrix.cut(square(spark, sf_dir))
+    near = matrix.knn_mask(sq, 2, "and").where("keep and i <> j")
+    groups = connect.labelled(nodes(spark, sf_dir), near.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    part = matrix.cut(partition.canonical(groups.select(F.col("node").alias("elem"), "label")))
+    return partition.silhouettes(sq, part).select("elem", "grp", "neighbour", r6("score").alias("score"))
+
+
+def q_pairwise(spark, d):
+    return dm(spark, d).select("i", "j", r6("d").alias("d"))
+
+
+def q_symmetrise(spark, d):
+    return pairs.symmetrised(dm(spark, d)).select("i", "j", r6("d").alias("d"))
+
+
+def q_double_centre(spark, d):
+    return matrix.double_centred(square(spark, d)).select("i", "j", r6("b").alias("b"))
+
+
+def q_rbf(spark, d):
+    return matrix.rbf(square(spark, d), 1.0).select("i", "j", r6("k").alias("k"))
+
+
+def q_shift(spark, d):
+    return matrix.shift_and_scale(square(spark, d), 0.5, 2.0).select("i", "j", r6("v").alias("v"))
+
+
+def q_kth(spark, d):
+    return matrix.kth_nearest(square(spark, d), K).select("i", r6("kd").alias("kd"))
+
+
+def q_mask(logic: str):
+    return lambda spark, d: matrix.knn_mask(matrix.cut(square(spark, d)), K, logic).where("keep").select("i", "j")
+
+
+def q_local_scale(spark, d):
+    return matrix.local_scale(matrix.cut(square(spark, d)), K).select("i", "j", r6("scale").alias("scale"))
+
+
+def q_affinity(spark, d):
+    sq = matrix.cut(square(spark, d))
+    return matrix.affinity(sq, matrix.median_scale(sq)).select("i", "j", r6("a").alias("a"))
+
+
+def q_laplacian(kind: str):
+    def q(spark, d):
+        sq = matrix.cut(square(spark, d))
+        return matrix.laplacian(matrix.cut(matrix.affinity(sq, matrix.median_scale(sq))), kind).select("i", "j", r6("l").alias("l"))
+
+    return q
+
+
+def q_components(spark, d):
+    near = matrix.knn_mask(matrix.cut(square(spark, d)), 1, "or").where("keep and i <> j")
+    return connect.labelled(nodes(spark, d), near.select(F.col("i").alias("a"), F.col("j").alias("b")))
+
+
+def q_dbscan(spark, d):
+    return connect.dbscan(nodes(spark, d), matrix.cut(dm(spark, d)), EPS, LEAST)
+
+
+def q_single(spark, d):
+    return connect.single_linkage_cut(nodes(spark, d), dm(spark, d), HEIGHT)
+
+
+def q_silhouette(spark, d):
+    return partition.silhouettes(square(spark, d), labels_partition(spark, d)).select("elem", "grp", "neighbour", r6("score").alias("score"))
+
+
+def q_kelley(spark, d):
+    p = points(spark, d).select(F.col("id").alias("elem"), "label")
+    parts = [p.select(F.lit(k).alias("k"), "elem", (F.col("label") % k).alias("grp")) for k in (2, 3, 5, 10)]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.union(x)
+    return partition.kelley_penalty(matrix.cut(dm(spark, d)), every).select("k", r6("spread").alias("spread"), r6("penalty").alias("penalty"))
+
+
+def q_fit(spark, d):
+    p = points(spark, d)
+    return matrix.fit_statistics(pairs.pairwise_euclid(p), pairs.pairwise_euclid(p.withColumn("x", F.slice("x", 1, 3)))).select(r6("stress").alias("stress"), r6("rmsd").alias("rmsd"))
+
+
+RANKED = """, rk AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM sq),
+kd AS (SELECT i, d AS kd FROM rk WHERE r = {k} + 1)"""
+MASK = "SELECT sq.i, sq.j FROM sq JOIN kd a ON a.i = sq.i JOIN kd b ON b.i = sq.j WHERE sq.d <= a.kd {logic} sq.d <= b.kd"
+AFFINITY = """, md AS (SELECT i, median(d) AS m FROM sq GROUP BY i),
+af AS (SELECT sq.i, sq.j, CASE WHEN sq.i = sq.j THEN 1.0::DOUBLE ELSE exp(-(sq.d * sq.d / (a.m * b.m))) END AS a FROM sq JOIN md a ON a.i = sq.i JOIN md b ON b.i = sq.j)"""
+LAPLACE = AFFINITY + """, dg AS (SELECT i, CASE WHEN sum(a) - 1 <= 1e-10 THEN 1 ELSE sum(CASE WHEN i <> j THEN a ELSE 0 END) END AS g FROM af GROUP BY i)"""
+REACH = """reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)"""
+RECURSIVE = E_SQL.replace("WITH e", "WITH RECURSIVE e", 1)
+
+E_QUERIES = {
+    "pairwise_euclid": (q_pairwise, E_SQL + " SELECT i, j, round(d, 6) AS d FROM dm"),
+    "symmetrise_dm": (q_symmetrise, E_SQL + " SELECT i, j, round(d, 6) AS d FROM sq WHERE i <> j"),
+    "double_centre": (q_double_centre, E_SQL + """, s AS (SELECT i, j, d * d AS s FROM sq), w AS (SELECT i, j, s, avg(s) OVER (PARTITION BY i) AS row, avg(s) OVER (PARTITION BY j) AS col, avg(s) OVER () AS g FROM s)
+        SELECT i, j, round(-0.5 * (s - row - col + g), 6) + 0.0 AS b FROM w"""),
+    "rbf_kernel": (q_rbf, E_SQL + " SELECT i, j, round(exp(-d * d / 2), 6) AS k FROM sq"),
+    "shift_scale": (q_shift, E_SQL + " SELECT i, j, round(0.5 + 1.5 * ((d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ())), 6) AS v FROM sq"),
+    "kth_nearest": (q_kth, E_SQL + RANKED.format(k=K) + " SELECT i, round(kd, 6) AS kd FROM kd"),
+    "knn_mask_or": (q_mask("or"), E_SQL + RANKED.format(k=K) + MASK.format(logic="OR")),
+    "knn_mask_and": (q_mask("and"), E_SQL + RANKED.format(k=K) + MASK.format(logic="AND")),
+    "local_scale": (q_local_scale, E_SQL + RANKED.format(k=K) + " SELECT a.i, b.i AS j, round(a.kd * b.kd, 6) AS scale FROM kd a, kd b"),
+    "affinity_median_scale": (q_affinity, E_SQL + AFFINITY + " SELECT i, j, round(a, 6) AS a FROM af"),
+    "laplacian_sym": (q_laplacian("symmetric"), E_SQL + LAPLACE + " SELECT af.i, af.j, round(a / sqrt(x.g * y.g), 6) AS l FROM af JOIN dg x ON x.i = af.i JOIN dg y ON y.i = af.j"),
+    "laplacian_rw": (q_laplacian("random walk"), E_SQL + LAPLACE + " SELECT af.i, af.j, round(a / x.g, 6) AS l FROM af JOIN dg x ON x.i = af.i"),
+    "mask_components": (q_components, RECURSIVE + RANKED.format(k=1) + ", link AS (SELECT i AS a, j AS b FROM (" + MASK.format(logic="OR") + ")), " + REACH + " SELECT a AS node, min(b) AS label FROM reach GROUP BY a"),
+    "dbscan_precomputed": (q_dbscan, RECURSIVE + f""", near AS (SELECT i, j, d FROM sq WHERE d <= {EPS}),
+        core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= {LEAST}), link AS (SELECT i AS a, j AS b FROM near WHERE i IN (FROM core) AND j IN (FROM core)), {REACH},
+        lab AS (SELECT a AS node, min(b) AS label FROM reach GROUP BY a),
+        border AS (SELECT i AS node, arg_min(j, (d, j)) AS via FROM near WHERE i NOT IN (FROM core) AND j IN (FROM core) GROUP BY i)
+        SELECT e.id AS node, coalesce(lab.label, l2.label, -1) AS label FROM e LEFT JOIN lab ON lab.node = e.id LEFT JOIN border ON border.node = e.id LEFT JOIN lab l2 ON l2.node = border.via"""),
+    "single_linkage_cut": (q_single, RECURSIVE + f", link AS (SELECT i AS a, j AS b FROM sq WHERE d <= {HEIGHT}), {REACH} SELECT a AS node, min(b) AS label FROM reach GROUP BY a"),
+    "silhouette_scores": (q_silhouette, E_SQL + """, p AS (SELECT id, dense_rank() OVER (ORDER BY f) - 1 AS grp FROM (SELECT id, min(id) OVER (PARTITION BY label) AS f FROM e)),
+        m AS (SELECT sq.i, a.grp, b.grp AS other, avg(sq.d) AS m FROM sq JOIN p a ON a.id = sq.i JOIN p b ON b.id = sq.j WHERE sq.i <> sq.j GROUP BY ALL),
+        s AS (SELECT i, grp, max(CASE WHEN grp = other THEN m END) AS a, min(CASE WHEN grp <> other THEN m END) AS b, arg_min(other, CASE WHEN grp <> other THEN m END) AS n FROM m GROUP BY ALL)
+        SELECT i AS elem, grp::INTEGER AS grp, n::INTEGER AS neighbour, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS score FROM s"""),
+    "kelley_penalty": (q_kelley, E_SQL + """, p AS (SELECT k, id, label % k AS grp FROM e, (SELECT unnest([2, 3, 5, 10]) AS k)),
+        g AS (SELECT a.k, a.grp, sum(d) AS s FROM dm JOIN p a ON a.id = i JOIN p b ON b.id = j AND a.k = b.k AND a.grp = b.grp GROUP BY ALL),
+        s AS (SELECT k, avg(s) / (0.5 * n * (n - 1)) AS spread, n FROM g, (SELECT count(*) AS n FROM e) GROUP BY k, n)
+        SELECT k::INTEGER AS k, round(spread, 6) AS spread, round((n - 2) / (max(spread) OVER () - min(spread) OVER ()) * (spread - min(spread) OVER ()) + 1 + k, 6) AS penalty FROM s"""),
+    "stress_rmsd": (q_fit, E_SQL + """, f AS (SELECT dm.d, dm.d - list_distance(a.x[1:3], b.x[1:3]) AS r FROM dm JOIN e a ON a.id = i JOIN e b ON b.id = j)
+        SELECT round(sqrt(sum(r * r) / sum(d * d)), 6) AS stress, round(sqrt(sum(r * r) / count(*)), 6) AS rmsd FROM f"""),
+}
+
+# ---------------------------------------------------------------- T: trees of nations by revenue
+
+T_SQL = """
+WITH rev AS (
+  SELECT p_brand, s_nationkey, sum(l_extendedprice * (1 - l_discount)) / 1e6 AS rev
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+t AS (
+  SELECT regexp_extract(p_brand, '[0-9]+')::BIGINT AS tree_id, 'N' || lpad(s_nationkey::VARCHAR, 2, '0') AS leaf, rev,
+         row_number() OVER w AS r, count(*) OVER (PARTITION BY p_brand) AS n, lead(rev) OVER w AS nxt
+  FROM rev WINDOW w AS (PARTITION BY p_brand ORDER BY rev DESC, s_nationkey)),
+c AS (
+  SELECT a.tree_id, list_sort(list(b.leaf)) AS clade, a.rev - a.nxt AS length, false AS is_leaf
+  FROM t a JOIN t b ON a.tree_id = b.tree_id AND b.r <= a.r WHERE a.r >= 2 AND a.r < a.n GROUP BY a.tree_id, a.r, a.rev, a.nxt
+  UNION ALL SELECT tree_id, [leaf], rev, true FROM t),
+lv AS (SELECT tree_id, list_sort(list(leaf)) AS leaves, count(*) AS n FROM t GROUP BY tree_id),
+sp AS (
+  SELECT tree_id, side AS clade, sum(length) AS length, len(side) IN (1, any_value(n) - 1) AS is_leaf
+  FROM (SELECT tree_id, n, length, CASE WHEN list_contains(clade, leaves[1]) THEN list_filter(leaves, lambda x: NOT list_contains(clade, x)) ELSE clade END AS side FROM c JOIN lv USING (tree_id))
+  GROUP BY tree_id, side)"""
+
+
+def ranked_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    rev = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rev = rev.groupBy("p_brand", "s_nationkey").agg((F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6).alias("rev"))
+    w = W.partitionBy("p_brand").orderBy(F.col("rev").desc(), "s_nationkey")
+    leaf = F.concat(F.lit("N"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
+    rows = rev.select(F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("tree_id"), leaf.alias("leaf"), "rev", F.row_number().over(w).alias("r"), F.lead("rev").over(w).alias("next"))
+    return rows.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("r", "leaf", "rev", "next"))).alias("rows")).where(F.size("rows") > 1)
+
+
+def rooted_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_id, clade, length, is_leaf) of all edges of the rooted trees."""
+    rows = ranked_nations(spark, sf_dir)
+    n = F.size("rows")
+    inner = F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda r: F.struct(F.array_sort(F.transform(F.slice("rows", F.lit(1), r), lambda x: x["leaf"])).alias("clade"), (F.get("rows", r - 1)["rev"] - F.get("rows", r - 1)["next"]).alias("length"), F.lit(False).alias("is_leaf")))).otherwise(F.array())
+    own = F.transform("rows", lambda x: F.struct(F.array(x["leaf"]).alias("clade"), x["rev"].alias("length"), F.lit(True).alias("is_leaf")))
+    return rows.select("tree_id", F.explode(F.concat(own, inner)).alias("c")).select("tree_id", "c.*")
+
+
+def newicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_id, newick): the trees as text."""
+    rows = ranked_nations(spark, sf_dir)
+    name = lambda x: F.concat(x["leaf"], F.lit(":"), x["rev"].cast("string"))
+    first = F.get("rows", F.lit(0))
+    start = F.struct(name(first).alias("s"), F.lit(None).cast("double").alias("gap"))
+    grown = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), start, lambda a, x: F.struct(F.concat(F.lit("("), a["s"], F.coalesce(F.concat(F.lit(":"), a["gap"].cast("string")), F.lit("")), F.lit(","), name(x), F.lit(")")).alias("s"), (x["rev"] - x["next"]).alias("gap")), lambda a: F.concat(a["s"], F.lit(";")))
+    return rows.select("tree_id", grown.alias("newick"))
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.cut(trees.splits(newicks(spark, sf_dir)))
+
+
+def leaf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_nations(spark, sf_dir).select("tree_id", F.array_sort(F.transform("rows", lambda x: x["leaf"])).alias("leaves"))
+
+
+def _joined(c: str = "clade") -> Column:
+    return F.array_join(c, " ").alias(c)
+
+
+def q_splits(spark, d):
+    return split_table(spark, d).select("tree_id", _joined(), r6("length").alias("length"), "is_leaf")
+
+
+def q_distances(spark, d):
+    m = trees.pair_distances(split_table(spark, d))
+    return m.select("a", "b", "rf", *[r6(c).alias(c) for c in ("rf_norm", "wrf", "wrf_norm", "euc", "euc_norm")])
+
+
+def q_overlap(spark, d):
+    return trees.overlaps(leaf_table(spark, d), 4)
+
+
+def q_prune(spark, d):
+    rows = ranked_nations(spark, d)
+    mean = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x["rev"]) / F.size("rows")
+    keep = rows.select("tree_id", F.transform(F.array(mean), lambda m: F.array_sort(F.transform(F.filter("rows", lambda x: x["rev"] > m), lambda x: x["leaf"])))[0].alias("keep"))
+    return trees.pruned(split_table(spark, d), keep).select("tree_id", _joined(), r6("length").alias("length"), "is_leaf")
+
+
+def q_patristic(spark, d):
+    return trees.patristic(rooted_clades(spark, d), leaf_table(spark, d)).select("tree_id", "a", "b", r6("d").alias("d"))
+
+
+def q_kc(spark, d):
+    return trees.kendall_colijn(rooted_clades(spark, d), leaf_table(spark, d)).select("tree_id", "a", "b", "m", r6("length").alias("length"))
+
+
+def q_kc_distance(spark, d):
+    v = matrix.cut(trees.kendall_colijn(rooted_clades(spark, d), leaf_table(spark, d)))
+    return trees.kendall_colijn_distances(v, 0.5).select("i", "j", r6("d").alias("d"))
+
+
+def q_multifurcate(spark, d):
+    return trees.multifurcated(trees.scaled(split_table(spark, d), 0.5), 0.05).select("tree_id", _joined(), r6("length").alias("length"), "is_leaf")
+
+
+KC_SQL = T_SQL + """, x AS (SELECT tree_id, length, clade FROM c WHERE NOT is_leaf),
+pr AS (SELECT p.tree_id, p.leaf AS a, q.leaf AS b FROM t p JOIN t q ON p.tree_id = q.tree_id AND p.leaf < q.leaf),
+kc AS (
+  SELECT pr.tree_id, a, b, count(x.length) AS m, coalesce(sum(x.length), 0) AS length
+  FROM pr LEFT JOIN x ON x.tree_id = pr.tree_id AND list_contains(clade, a) AND list_contains(clade, b) GROUP BY ALL
+  UNION ALL SELECT tree_id, leaf, leaf, 1, rev FROM t)"""
+T_QUERIES = {
+    "split_table": (q_splits, T_SQL + " SELECT tree_id, array_to_string(clade, ' ') AS clade, round(length, 6) AS length, is_leaf FROM sp"),
+    "tree_distances": (q_distances, T_SQL + """, k AS (SELECT DISTINCT x.tree_id AS a, y.tree_id AS b FROM sp x JOIN sp y ON x.tree_id < y.tree_id),
+        u AS (SELECT k.a, k.b, s.clade FROM k JOIN sp s ON s.tree_id IN (k.a, k.b) GROUP BY ALL),
+        v AS (SELECT u.a, u.b, coalesce(x.length, 0) AS x, coalesce(y.length, 0) AS y, (x.clade IS NOT NULL AND NOT x.is_leaf)::INTEGER AS ix, (y.clade IS NOT NULL AND NOT y.is_leaf)::INTEGER AS iy
+              FROM u LEFT JOIN sp x ON x.tree_id = u.a AND x.clade = u.clade LEFT JOIN sp y ON y.tree_id = u.b AND y.clade = u.clade)
+        SELECT a, b, sum(abs(ix - iy))::DOUBLE AS rf, round(coalesce(sum(abs(ix - iy)) / nullif(sum(ix + iy), 0), 0), 6) AS rf_norm, round(sum(abs(x - y)), 6) AS wrf, round(sum(abs(x - y)) / sum(x + y), 6) AS wrf_norm,
+               round(sqrt(sum((x - y) ** 2)), 6) AS euc, round(sqrt(sum((x - y) ** 2)) / (sqrt(sum(x * x)) + sqrt(sum(y * y))), 6) AS euc_norm FROM v GROUP BY a, b"""),
+    "overlap_rule": (q_overlap, T_SQL + """, o AS (SELECT x.tree_id AS a, y.tree_id AS b, len(list_intersect(x.leaves, y.leaves)) AS common, len(x.leaves) + len(y.leaves) AS total FROM lv x JOIN lv y ON x.tree_id < y.tree_id)
+        SELECT a, b, common::INTEGER AS common, (total - 2 * common)::INTEGER AS different, common >= 4 AS ok FROM o"""),
+    "prune_splits": (q_prune, T_SQL + """, kp AS (SELECT tree_id, list_sort(list(leaf)) AS keep FROM (SELECT tree_id, leaf, rev, avg(rev) OVER (PARTITION BY tree_id) AS m FROM t) WHERE rev > m GROUP BY tree_id),
+        z AS (SELECT tree_id, keep, length, list_sort(list_intersect(clade, keep)) AS s FROM sp JOIN kp USING (tree_id)),
+        y AS (SELECT tree_id, keep, length, CASE WHEN list_contains(s, keep[1]) THEN list_filter(keep, lambda v: NOT list_contains(s, v)) ELSE s END AS side FROM z)
+        SELECT tree_id, array_to_string(side, ' ') AS clade, round(sum(length), 6) AS length, len(side) IN (1, len(any_value(keep)) - 1) AS is_leaf FROM y WHERE len(side) > 0 AND len(side) < len(keep) GROUP BY tree_id, side"""),
+    "patristic": (q_patristic, T_SQL + """, pr AS (SELECT p.tree_id, p.leaf AS a, q.leaf AS b FROM t p JOIN t q ON p.tree_id = q.tree_id AND p.leaf < q.leaf)
+        SELECT pr.tree_id, a, b, round(sum(length), 6) AS d FROM pr JOIN c ON c.tree_id = pr.tree_id AND list_contains(clade, a) <> list_contains(clade, b) GROUP BY ALL"""),
+    "kendall_colijn": (q_kc, KC_SQL + " SELECT tree_id, a, b, m, round(length, 6) AS length FROM kc"),
+    "kendall_colijn_distance": (q_kc_distance, KC_SQL + """ SELECT x.tree_id AS i, y.tree_id AS j, round(sqrt(sum((0.5 * x.m + 0.5 * x.length - 0.5 * y.m - 0.5 * y.length) ** 2)), 6) AS d
+        FROM kc x JOIN kc y ON x.a = y.a AND x.b = y.b AND x.tree_id < y.tree_id GROUP BY ALL"""),
+    "multifurcate_scale": (q_multifurcate, T_SQL + " SELECT tree_id, array_to_string(clade, ' ') AS clade, round(length * 0.5, 6) AS length, is_leaf FROM sp WHERE is_leaf OR length * 0.5 > 0.05"),
+}
+
+# ---------------------------------------------------------------- A: alignments of nations by months
+
+A_SQL = """
+WITH o AS (SELECT c_mktsegment AS locus, 'N' || lpad(c_nationkey::VARCHAR, 2, '0') AS taxon, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+months AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders),
+rws AS (SELECT DISTINCT locus, taxon FROM o),
+ch AS (SELECT locus, taxon, month, CASE WHEN n IS NULL THEN '-' ELSE 'ACGT'[(n % 4 + 1)::INTEGER] END AS ch, row_number() OVER (PARTITION BY locus, taxon ORDER BY month) AS pos FROM rws CROSS JOIN months LEFT JOIN o USING (locus, taxon, month)),
+seqs AS (SELECT locus, taxon, row_number() OVER (PARTITION BY locus ORDER BY taxon) - 1 AS seq_idx, seq, length(seq) AS n FROM (SELECT locus, taxon, string_agg(ch, '' ORDER BY pos) AS seq FROM ch GROUP BY ALL))"""
+
+
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    taxon = F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("taxon")
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("locus"), taxon, month).agg(F.count("*").alias("n"))
+    months = t("orders").select(month).distinct().agg(F.array_sort(F.collect_list("month")).alias("months"))
+    rows = o.groupBy("locus", "taxon").agg(F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("by")).crossJoin(F.broadcast(months))
+    code = lambda m: F.coalesce(F.substring(F.lit("ACGT"), (F.col("by")[m] % 4 + 1).cast("int"), F.lit(1)), F.lit("-"))
+    seqs = rows.select("locus", "taxon", F.array_join(F.transform("months", code), "").alias("seq"))
+    return seqs.withColumn("seq_idx", F.row_number().over(W.partitionBy("locus").orderBy("taxon")) - 1)
+
+
+def q_patterns(spark, d):
+    return align.site_patterns(alignment(spark, d))
+
+
+def q_lnl(spark, d):
+    return align.unconstrained_lnl(alignment(spark, d)).select("locus", "n_patterns", r6("lnl").alias("lnl"))
+
+
+def q_alphabet(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("locus"), F.col("text").alias("seq"))
+    return align.alphabets(alignment(spark, d).select("locus", "seq").union(docs))
+
+
+def q_concat(spark, d):
+    return align.concatenated(alignment(spark, d))
+
+
+def _lengths(spark, d):
+    return alignment(spark, d).groupBy("locus").agg(F.max(F.length("seq")).alias("n"))
+
+
+def q_qfile(spark, d):
+    return align.partition_lines(align.running_offsets(_lengths(spark, d)), F.lit("GTR"), ml_freqs=True)
+
+
+def q_codons(spark, d):
+    return align.partition_lines(align.running_offsets(_lengths(spark, d)), F.lit("DNA"), sep_codon_pos=True)
+
+
+def q_length_line(spark, d):
+    return align.length_line(_lengths(spark, d))
+
+
+def _neighbours(spark, d):
+    """Every sequence with the next taxon's of its locus."""
+    return alignment(spark, d).withColumn("next", F.lead("seq").over(W.partitionBy("locus").orderBy("taxon"))).where("next is not null")
+
+
+def q_gapmask(spark, d):
+    return _neighbours(spark, d).select("locus", "taxon", scalars.gap_masked(F.col("seq"), F.col("next")).alias("seq"))
+
+
+def q_ambiguate(spark, d):
+    return _neighbours(spark, d).select("locus", "taxon", scalars.ambiguous(F.col("seq"), F.col("next")).alias("seq"))
+
+
+def q_jc69(spark, d):
+    return align.jc69(alignment(spark, d)).select("locus", "a", "b", "n", r6("p").alias("p"), r6("d").alias("d"))
+
+
+def q_species(spark, d):
+    return align.species(alignment(spark, d)).select("locus", "n_taxa", r6("coverage").alias("coverage"))
+
+
+def q_genome_map(spark, d):
+    return align.genome_map(alignment(spark, d))
+
+
+NEXT = ", nb AS (SELECT locus, taxon, seq, lead(seq) OVER (PARTITION BY locus ORDER BY taxon) AS nxt, n FROM seqs), ps AS (SELECT locus, taxon, i, seq[i] AS x, nxt[i] AS y FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM nb WHERE nxt IS NOT NULL))"
+A_QUERIES = {
+    "site_patterns": (q_patterns, A_SQL + " SELECT locus, pattern, count(*) AS n FROM (SELECT locus, pos, string_agg(ch, '' ORDER BY taxon) AS pattern FROM ch GROUP BY ALL) GROUP BY ALL"),
+    "unconstrained_lnl": (q_lnl, A_SQL + """, p AS (SELECT locus, pattern, count(*) AS v FROM (SELECT locus, pos, string_agg(ch, '' ORDER BY taxon) AS pattern FROM ch GROUP BY ALL) GROUP BY ALL)
+        SELECT locus, count(*) AS n_patterns, round(sum(v * ln(v)) - sum(v) * ln(sum(v)), 6) AS lnl FROM p GROUP BY locus"""),
+    "guess_alphabet": (q_alphabet, A_SQL + """ SELECT locus, CASE WHEN bool_and(NOT regexp_matches(upper(seq), '[^-?XGATCRYWSMKHBVDN]')) THEN 'dna' ELSE 'protein' END AS datatype
+        FROM (SELECT locus, seq FROM seqs UNION ALL SELECT lang, text FROM documents) GROUP BY locus"""),
+    "concat_alignment": (q_concat, A_SQL + """ SELECT taxon, string_agg(coalesce(seq, repeat('?', l.n)), '' ORDER BY l.locus) AS seq, count(seq) AS n_loci
+        FROM (SELECT DISTINCT taxon FROM seqs) CROSS JOIN (SELECT locus, max(n) AS n FROM seqs GROUP BY locus) l LEFT JOIN seqs USING (taxon, locus) GROUP BY taxon"""),
+    "qfile_offsets": (q_qfile, A_SQL + ", l AS (SELECT locus, max(n) AS n FROM seqs GROUP BY locus), s AS (SELECT *, sum(n) OVER (ORDER BY locus) AS stop FROM l) SELECT locus, 'GTRX, ' || locus || ' = ' || (stop - n + 1)::BIGINT || '-' || stop::BIGINT AS line FROM s"),
+    "qfile_codons": (q_codons, A_SQL + ", l AS (SELECT locus, max(n) AS n FROM seqs GROUP BY locus), s AS (SELECT *, sum(n) OVER (ORDER BY locus) AS stop FROM l) SELECT locus, 'DNA, ' || locus || '_' || (k + 1) || ' = ' || (stop - n + 1 + k)::BIGINT || '-' || stop::BIGINT || '/3' AS line FROM s, (SELECT unnest([0, 1, 2]) AS k)"),
+    "length_line": (q_length_line, A_SQL + ", l AS (SELECT locus, max(n) AS n FROM seqs GROUP BY locus) SELECT 'G ' || count(*) || ' ' || string_agg(n::VARCHAR, ' ' ORDER BY locus) AS value FROM l"),
+    "gapmask": (q_gapmask, A_SQL + NEXT + " SELECT locus, taxon, string_agg(CASE WHEN y = '-' THEN '-' ELSE x END, '' ORDER BY i) AS seq FROM ps GROUP BY ALL"),
+    "ambiguate": (q_ambiguate, A_SQL + NEXT + """ SELECT locus, taxon, string_agg(CASE WHEN x = '-' OR y = '-' THEN '-' WHEN x = y THEN x ELSE CASE least(x, y) || greatest(x, y) WHEN 'AC' THEN 'M' WHEN 'AG' THEN 'R' WHEN 'AT' THEN 'W' WHEN 'CG' THEN 'S' WHEN 'CT' THEN 'Y' WHEN 'GT' THEN 'K' END END, '' ORDER BY i) AS seq FROM ps GROUP BY ALL"""),
+    "jc69_distance": (q_jc69, A_SQL + """, p AS (SELECT x.locus, x.taxon AS a, y.taxon AS b, count(*) FILTER (x.ch <> '-' AND y.ch <> '-') AS n, count(*) FILTER (x.ch <> '-' AND y.ch <> '-' AND x.ch <> y.ch) AS k
+        FROM ch x JOIN ch y ON x.locus = y.locus AND x.pos = y.pos AND x.taxon < y.taxon GROUP BY ALL)
+        SELECT locus, a, b, n, round(k / nullif(n, 0), 6) AS p, round(CASE WHEN k / nullif(n, 0) < 0.75 THEN -0.75 * ln(1 - k / n / 0.75) END, 6) + 0.0 AS d FROM p"""),
+    "species_coverage": (q_species, A_SQL + " SELECT locus, count(DISTINCT taxon) AS n_taxa, round(count(DISTINCT taxon) / (SELECT count(DISTINCT taxon) FROM seqs), 6) AS coverage FROM seqs GROUP BY locus"),
+    "genome_map": (q_genome_map, A_SQL + " SELECT locus, taxon, coalesce(seq_idx + 1, -1) AS place FROM (SELECT DISTINCT taxon FROM seqs) CROSS JOIN (SELECT DISTINCT locus FROM seqs) LEFT JOIN seqs USING (locus, taxon)"),
+}
+
+# ---------------------------------------------------------------- partitions
+
+
+def _by_source(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("elem"), F.col("source").alias("label"))
+
+
+def q_rgn(spark, d):
+    return partition.canonical(_by_source(spark, d))
+
+
+def q_membership(spark, d):
+    return partition.membership(partition.canonical(_by_source(spark, d))).select("grp", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def q_from_membership(spark, d):
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("elem"), F.col("lang").alias("grp"))
+    return partition.from_membership(partition.membership(lang))
+
+
+def q_statistics(spark, d):
+    return partition.statistics(partition.canonical(_by_source(spark, d)))
+
+
+def q_entropy(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("g1"), F.col("source").alias("g2"))
+    cust = table(spark, d, "customer").select(F.col("c_mktsegment").alias("g1"), F.col("c_nationkey").cast("string").alias("g2"))
+    cols = [r6(c).alias(c) for c in ("h1", "h2", "mi", "nmi", "vi")]
+    return partition.entropies(docs).select(F.lit("documents").alias("data"), *cols).union(partition.entropies(cust).select(F.lit("customer").alias("data"), *cols))
+
+
+def q_changed(spark, d):
+    """Elements of groups that differ between two partitions."""
+    docs = table(spark, d, "documents")
+    old = partition.membership(docs.select(F.col("doc_id").alias("elem"), F.col("lang").alias("grp")))
+    new = partition.membership(docs.select(F.col("doc_id").alias("elem"), F.when(F.col("lang") == "es", F.col("source")).otherwise(F.col("lang")).alias("grp")))
+    return cem.changed_elements(old, new)
+
+
+RGN = "g AS (SELECT doc_id AS elem, (dense_rank() OVER (ORDER BY f) - 1)::INTEGER AS grp FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {by}) AS f FROM documents))"
+
+
+def _entropy_sql(name: str, t: str, a: str, b: str) -> str:
+    h = lambda by: f"(SELECT -sum(n / t * log2(n / t)) FROM (SELECT n, sum(n) OVER () AS t FROM (SELECT count(*) AS n FROM {t} GROUP BY {by})))"
+    return f"SELECT '{name}' AS data, round(h1, 6) AS h1, round(h2, 6) AS h2, round(h1 + h2 - h12, 6) + 0.0 AS mi, round(2 * (h1 + h2 - h12) / (h1 + h2), 6) + 0.0 AS nmi, round(2 * h12 - h1 - h2, 6) AS vi FROM (SELECT {h(a)} AS h1, {h(b)} AS h2, {h(f'{a}, {b}')} AS h12)"
+
+
+P_QUERIES = {
+    "rgn_labels": (q_rgn, "WITH " + RGN.format(by="source") + " SELECT elem, grp FROM g"),
+    "membership": (q_membership, "WITH " + RGN.format(by="source") + " SELECT grp, string_agg(elem::VARCHAR, ',' ORDER BY elem) AS members FROM g GROUP BY grp"),
+    "from_membership": (q_from_membership, "WITH " + RGN.format(by="lang") + " SELECT elem, grp FROM g"),
+    "partition_stats": (q_statistics, "SELECT count(DISTINCT source) AS num_groups, count(*) AS num_elements, count(DISTINCT source) = 1 AS is_minimal, count(DISTINCT source) = count(*) AS is_maximal FROM documents"),
+    "partition_entropy_nmi_vi": (q_entropy, _entropy_sql("documents", "documents", "lang", "source") + " UNION ALL " + _entropy_sql("customer", "customer", "c_mktsegment", "c_nationkey")),
+    "changed_elements": (q_changed, """WITH o AS (SELECT list_sort(list(doc_id)) AS m FROM documents GROUP BY lang), n AS (SELECT list_sort(list(doc_id)) AS m FROM documents GROUP BY CASE WHEN lang = 'es' THEN source ELSE lang END)
+        SELECT DISTINCT unnest(m) AS elem FROM (SELECT m FROM n EXCEPT SELECT m FROM o)"""),
+}
+
+# ---------------------------------------------------------------- likelihood tables, criteria, scalars
+
+LK_SQL = E_SQL + """, f AS (SELECT id, label, unnest(x) AS v, unnest(range(len(x))) AS k FROM e), ce AS (SELECT label, k, avg(v) AS c FROM f GROUP BY ALL),
+lk AS (SELECT f.id AS elem, ce.label AS grp, -sum((v - c) ** 2) AS lnl FROM f JOIN ce ON ce.k = f.k GROUP BY ALL)"""
+
+
+def likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(elem, grp, lnl): minus the squared distance of each point to each label's centroid."""
+    p = points(spark, sf_dir)
+    centre = p.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("c"))
+    d = F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    return p.select("id", "x").crossJoin(F.broadcast(centre)).select(F.col("id").alias("elem"), F.col("label").alias("grp"), (-d).alias("lnl"))
+
+
+def q_softmax(spark, d):
+    return cem.probabilities(likelihoods(spark, d)).select("elem", "grp", r6("p").alias("p"))
+
+
+def q_argmax(spark, d):
+    return cem.assigned(cem.probabilities(likelihoods(spark, d)))
+
+
+def q_proportions(spark, d):
+    return cem.log_proportions(cem.assigned(cem.probabilities(likelihoods(spark, d)))).select("grp", r6("log_p").alias("log_p"))
+
+
+def q_row_power(spark, d):
+    return cem.row_powers(cem.probabilities(likelihoods(spark, d)), 2.0).select("elem", "grp", r6("p").alias("p"))
+
+
+def q_group_distance(spark, d):
+    own = points(spark, d).select(F.col("id").alias("elem"), F.col("label").alias("own"))
+    return cem.likelihood_distances(likelihoods(spark, d), own).select("i", "j", r6("d").alias("d"))
+
+
+def q_criteria(spark, d):
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.var_pop("c_acctbal").alias("v"))
+    c = c.withColumn("lnl", -0.5 * F.col("n") * (F.ln(2 * F.pi() * F.col("v")) + 1))
+    ic = partition.information_criteria(F.col("lnl"), F.lit(2), F.col("n"))
+    return c.select("c_nationkey", r6("lnl").alias("lnl"), *[r6(v).alias(k) for k, v in ic.items()])
+
+
+def q_smooth(spark, d):
+    """Letter frequencies of each language, as arrays that sum to 1, spelt out again."""
+    letters = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), "")).alias("ch")).where(F.col("ch").between("a", "z")).groupBy("lang", "ch").agg(F.count("*").cast("double").alias("n"))
+    rows = letters.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("ch", "n"))).alias("r"))
+    rows = rows.select("lang", "r", scalars.smoothed_frequencies(F.transform("r", lambda x: x["n"])).alias("f"))
+    return rows.select("lang", F.explode(F.arrays_zip("r", "f")).alias("z")).select("lang", F.col("z.r.ch").alias("ch"), r6(F.col("z.f")).alias("f"))
+
+
+def q_means(spark, d):
+    m = scalars.weighted_means(F.col("l_extendedprice"), F.col("l_quantity"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[r6(F.round(v, 4)).alias(k) for k, v in m.items()])
+
+
+def q_natural(spark, d):
+    names = table(spark, d, "part").select(F.col("p_brand").alias("name")).union(table(spark, d, "customer").select("c_name")).distinct()
+    return names.select("name", F.row_number().over(W.orderBy(scalars.natural_key(F.col("name")), "name")).alias("place"))
+
+
+def q_pending(spark, d):
+    return cem.pending(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+def q_placement(spark, d):
+    """Right-hand sides of the adjacent placement equations of every point, from distances to the label centroids."""
+    far = likelihoods(spark, d).select(F.col("elem").alias("query"), F.col("grp").alias("ref"), F.sqrt(-F.col("lnl")).alias("d"))
+    return placement.adjacent_terms(far).select("query", "ref", r6("term").alias("term"))
+
+
+def q_paths(spark, d):
+    url = F.regexp_replace("url", "[?#].*$", "")
+    return table(spark, d, "pages").select("page_id", scalars.base_name(url).alias("base"), scalars.strip_extensions(url).alias("stem"))
+
+
+def q_translate(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", scalars.translated(F.col("o_orderpriority"), {"1": "one", "URGENT": "now", "-": "/"}).alias("priority"))
+
+
+def q_counts(spark, d):
+    n = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return n.select("c_nationkey", scalars.pair_count(F.col("n")).alias("pairs"))
+
+
+def q_cumulative(spark, d):
+    """Which share of the variance the leading dimensions of the points hold."""
+    v = points(spark, d).select(F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.var_pop("v").alias("value"))
+    return cem.cumulative_share(v).select("dim", r6("share").alias("share"))
+
+
+PROBS = LK_SQL + ", pr AS (SELECT elem, grp, exp(lnl - max(lnl) OVER w) / sum(exp(lnl - m)) OVER w AS p FROM (SELECT *, max(lnl) OVER (PARTITION BY elem) AS m FROM lk) WINDOW w AS (PARTITION BY elem)), ar AS (SELECT elem, grp FROM (SELECT *, row_number() OVER (PARTITION BY elem ORDER BY p DESC, grp) AS r FROM pr) WHERE r = 1)"
+L_QUERIES = {
+    "softmax_probs": (q_softmax, PROBS + " SELECT elem, grp, round(p, 6) AS p FROM pr"),
+    "argmax_assign": (q_argmax, PROBS + " SELECT elem, grp FROM ar"),
+    "log_proportions": (q_proportions, PROBS + " SELECT grp, round(ln(count(*) / (SELECT count(*) FROM ar)), 6) AS log_p FROM ar GROUP BY grp"),
+    "row_powers": (q_row_power, PROBS + " SELECT elem, grp, round(sqrt(p / sum(p) OVER (PARTITION BY elem)), 6) AS p FROM pr"),
+    "likelihood_distance": (q_group_distance, LK_SQL + """, s AS (SELECT o.label AS g, lk.grp, avg(lnl) AS m FROM lk JOIN e o ON o.id = lk.elem GROUP BY ALL), l AS (SELECT s.g, s.grp, s.m - t.m AS v FROM s JOIN s t ON t.g = s.g AND t.grp = s.g)
+        SELECT a.g AS i, a.grp AS j, round(-0.5 * (a.v + b.v), 6) + 0.0 AS d FROM l a JOIN l b ON a.g = b.grp AND a.grp = b.g WHERE a.g < a.grp"""),
+    "info_criteria": (q_criteria, """WITH c AS (SELECT c_nationkey, count(*) AS n, -0.5 * count(*) * (ln(2 * pi() * var_pop(c_acctbal)) + 1) AS lnl FROM customer GROUP BY c_nationkey)
+        SELECT c_nationkey, round(lnl, 6) AS lnl, round(-2 * lnl + 4, 6) AS aic, round(-2 * lnl + 4 * n / (n - 3), 6) AS aicc, round(-2 * lnl + 2 * ln(n), 6) AS bic FROM c"""),
+    "smooth_freqs": (q_smooth, """WITH l AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]')) AS ch FROM documents), n AS (SELECT lang, ch, count(*) AS n FROM l GROUP BY ALL)
+        SELECT lang, ch, round(n / sum(n) OVER (PARTITION BY lang), 6) AS f FROM n"""),
+    "weighted_means": (q_means, """SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS amean, round(exp(sum(l_quantity * ln(l_extendedprice)) / sum(l_quantity)), 4) AS gmean,
+        round(sum(l_quantity) / sum(l_quantity / l_extendedprice), 4) AS hmean FROM lineitem GROUP BY l_returnflag"""),
+    "natural_sort_rank": (q_natural, """WITH n AS (SELECT p_brand AS name FROM part UNION SELECT c_name FROM customer), k AS (SELECT name, array_to_string(list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(coalesce(nullif(ltrim(p, '0'), ''), '0'), 20, '0') ELSE p END), '') AS key FROM n)
+        SELECT name, row_number() OVER (ORDER BY key, name)::INTEGER AS place FROM k"""),
+    "pending_work": (q_pending, "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
+    "analytical_fit_rhs": (q_placement, LK_SQL + """, q AS (SELECT elem AS query, grp AS ref, -lnl AS s FROM lk), w AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY query ORDER BY ref), first_value(s) OVER (PARTITION BY query ORDER BY ref)) AS nx FROM q)
+        SELECT query, ref, round(0.5 * (s - nx), 6) + 0.0 AS term FROM w"""),
+    "path_names": (q_paths, r"""WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), b AS (SELECT page_id, coalesce(regexp_extract(u, '([^/]*)$', 1), '') AS base FROM u)
+        SELECT page_id, base, regexp_extract(base, '^(\.*[^.]*)', 1) AS stem FROM b"""),
+    "translate_strings": (q_translate, "SELECT o_orderkey, replace(replace(replace(o_orderpriority, '1', 'one'), 'URGENT', 'now'), '-', '/') AS priority FROM orders"),
+    "pair_counts": (q_counts, "SELECT c_nationkey, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM customer GROUP BY c_nationkey"),
+    "cumulative_variance": (q_cumulative, E_SQL + ", f AS (SELECT unnest(x) AS v, unnest(range(len(x)))::INTEGER AS dim FROM e), s AS (SELECT dim, var_pop(v) AS v FROM f GROUP BY dim) SELECT dim, round(sum(v) OVER (ORDER BY v DESC, dim ROWS UNBOUNDED PRECEDING) / sum(v) OVER (), 6) AS share FROM s"),
+}
+
+_ALL = E_QUERIES | T_QUERIES | A_QUERIES | P_QUERIES | L_QUERIES
+QUERIES = {k: q for k, (q, _) in _ALL.items()}
+SQL = {k: s for k, (_, s) in _ALL.items() if s}
