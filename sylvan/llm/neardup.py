@@ -11,9 +11,10 @@ doubled for that text.
 Linking. Equal word sequences are one node (128-bit fingerprint), so copies cost nothing further. Nodes
 that share a band of coordinates form a bucket; its members are first checked against one hub, the member
 with most company in all its buckets, so a group of n near copies needs about n checks and not n**2. Every
-link is verified by the exact similarity of the window sets. Where a bucket's members are still in several
-components, each member outside the bucket's largest component is checked against all members of other
-components, so that no link that a bucket shows is lost. Links make classes by connected components.
+link is verified by the exact similarity of the window sets. Members of buckets that are then still in
+several components are joined exactly, by a prefix and position filter over their windows, against all others
+in such buckets, so that no link that a bucket shows is lost; this costs rows only for pairs that may be
+links, not for all pairs of a bucket. Links make classes by connected components.
 
 Scale. Signatures are one narrow pass. The tables after it hold band keys and fingerprints, not texts, and
 single-member buckets are dropped by a pre-aggregated count; texts move only for nodes in a candidate pair.
@@ -41,6 +42,8 @@ from sylvan.session import cut, via_table
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
 #: Texts whose darts are thrown at once; a text has about k ln k + 2k of them however short it is.
 DART_TEXTS = 64
+#: Counters that order windows by rarity, and the slices in which they are added up.
+COUNTERS, COUNTER_SLICES = 1 << 20, 256
 _SEEDS = [T.seeded(s) for s in range(8)]
 
 
@@ -186,20 +189,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of each pair of fingerprints, from the window sets of their texts."""
     rows = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = T.utf8(column)
-        parts = []
-        for a, b in T.steps(offsets):
-            _, _, element, owner = _nodes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            v, t, _ = T.distinct(element, owner)
-            parts.append((v, t + a))
+    def sets(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(v, t + a) for a, _, v, t in _window_sets(batch, column)]
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                (va, ta), (vb, tb) = sets(b.column(2)), sets(b.column(3))
+                (va, ta), (vb, tb) = sets(b, 2), sets(b, 3)
                 _, t, times = T.distinct(np.concatenate([va, vb]), np.concatenate([ta, tb]))
                 both = np.bincount(t[times == 2], minlength=b.num_rows)
                 either = np.bincount(t, minlength=b.num_rows)
@@ -225,8 +223,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Fa
     texts = node_texts(docs, company.join(nodes.select("fp", "doc_id"), "fp"))
     links = cut(verified(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b"))
     label = components(links)
-    rest = _undecided(member, label).join(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    rest = cut(rest.where(fits).select("a", "b").distinct())
+    known = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = cut(prefix_pairs(_undecided(member, label), texts, similarity).join(known, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = verified(rest, texts).where(F.col("similarity") >= similarity).select("a", "b")
         label = components(cut(links.union(more)))
@@ -235,14 +233,80 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Fa
 
 
 def _undecided(member: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, m) of a bucket in different components, a outside the bucket's largest one."""
+    """(fp, n, comp, minor) of the nodes in buckets with several components; minor: outside a bucket's largest one."""
     m = cut(member.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("comp")))
     per = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
     split = cut(per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top")).where("parts > 1").select("key", F.col("top.comp").alias("largest")))
-    m = cut(m.join(split, "key"))
-    small = m.where("comp <> largest").select("key", F.col("fp").alias("a"), "n", F.col("comp").alias("of_a"))
-    other = m.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("comp").alias("of_b"), "largest")
-    return small.join(other, "key").where("of_a <> of_b and (of_b = largest or a < b)").select("a", "b", "n", "m")
+    return cut(m.join(split, "key").groupBy("fp").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("largest")).alias("minor")))
+
+
+def _window_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text, windows, text of each) of a batch, some texts at a time."""
+    data, offsets = T.utf8(batch.column(column))
+    for a, b in T.steps(offsets):
+        _, _, element, owner = _nodes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        v, t, _ = T.distinct(element, owner)
+        yield a, b, v, t
+
+
+def window_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts hold a window, by ``COUNTERS`` hashed counters: a table of fixed size, whatever the input."""
+    size = COUNTERS // COUNTER_SLICES
+
+    def slices(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = [s for s in range(COUNTER_SLICES) if table[s * size : (s + 1) * size].any()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "part": pa.array([table[s * size : (s + 1) * size].tobytes() for s in some], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, v, _ in _window_sets(batch, 0):
+                table += np.bincount((v % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        yield from slices(table)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table[s * size : (s + 1) * size] += np.frombuffer(raw, np.int64)
+        yield from slices(table)
+
+    parts = texts.select("text").mapInArrow(count, "slice int, part binary").repartition("slice").mapInArrow(add, "slice int, part binary")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in parts.collect():  # at most COUNTER_SLICES rows
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(bytes(r["part"]), np.int64)
+    return out
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes (fp, n, comp, minor) that can be this similar, one of them minor, in different components.
+
+    An exact prefix and position filter. Windows are put in one global order, rarest first; two sets of this
+    similarity share a window among the first n - ceil(s n) + 1 of each, and from the place of a shared one on
+    both must have enough windows left. A set that changed in many places begins with windows that nobody
+    else has, so it meets nobody; only these prefixes, without the windows that occur once, are shuffled.
+    """
+    mine = texts.join(nodes, "fp").select("text", "fp", "comp", "minor")
+    counts = mine.sparkSession.sparkContext.broadcast(window_counts(mine))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, v, t in _window_sets(batch, 0):
+                often = counts.value[(v % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((v, often, t))
+                n = np.bincount(t, minlength=b - a)
+                place = np.arange(len(t)) - (np.cumsum(n) - n)[t]
+                need = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                keep = (place < need[t]) & (often[order] > 1)
+                at = pa.array(t[keep] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(v[order][keep].view(np.int64)), *(batch.column(c).take(at) for c in (1, 2, 3)), pa.array(n[t[keep]]), pa.array(place[keep])], names=["window", "fp", "comp", "minor", "n", "place"])
+
+    rows = cut(mine.mapInArrow(run, "window long, fp binary, comp binary, minor boolean, n long, place long"))
+    x, y = rows.where("minor").alias("x"), rows.alias("y")
+    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
+    need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    meet = (F.col("x.window") == F.col("y.window")) & (F.col("x.comp") != F.col("y.comp")) & (most >= need) & (~F.col("y.minor") | (F.col("x.fp") < F.col("y.fp")))
+    return x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ from sylvan.session import table_path
 MAGIC = b"RPGRAM01"
 ROUNDS, WIDTH, LEAST = 3, 32000, 8
 #: Cells of a table over left and right symbols, beyond which pairs are found by binary search.
-TABLE = 1 << 24
+TABLE = 1 << 23
 #: Tokens after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1_000_000
 SHARDS = "part int, shard int, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary"

@@ -32,7 +32,7 @@ _PLAIN = re.compile(rf"[ {_LETTERS}0-9{_PUNCTUATION}\n]+")
 #: The byte-level pre-tokenizer's fixed pattern, over the plain characters.
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_PUNCTUATION}]+|\s+(?!\S)|\s+")
 #: Cuttings and pieces remembered, and the longest one in bytes, before a worker starts its memory anew.
-MOST_WORDS, MOST_PIECES, LONGEST = 1_500_000, 600_000, 200
+MOST_WORDS, MOST_PIECES, LONGEST = 1_000_000, 120_000, 200
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -146,7 +146,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text as int32."""
-        if self.n > MOST_WORDS - T.STEP_BYTES // 2:
+        if self.n > MOST_WORDS - T.STEP_BYTES // 16:
             self._forget()
         docs, whole = len(offsets) - 1, self._must_go_whole(data, offsets)
         cut = np.zeros(len(data) + 1, bool)
@@ -166,7 +166,7 @@ class Encoder:
             at, raw = unknown[first], data.tobytes()
             if self.n + len(new) > MOST_WORDS:  # a text with more new words than the memory has room for
                 self._forget()
-                return self.encode(data, offsets) if len(new) < MOST_WORDS - T.STEP_BYTES // 2 else [np.array(x, np.int32) for x in self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])]
+                return self.encode(data, offsets) if len(new) < MOST_WORDS - T.STEP_BYTES // 16 else [np.array(x, np.int32) for x in self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])]
             fresh = self._learn([raw[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())])
             self._put(new, fresh.astype(np.int32))
             code[unknown] = fresh[back]

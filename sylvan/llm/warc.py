@@ -8,8 +8,8 @@ An archive is a series of gzip members, one a record; with it goes its index run
 sorted by (URL key, timestamp, page_id). Archive and run are one row of a Parquet table, so that any store
 Spark writes to can hold them and lost tasks leave nothing behind.
 
-Index merge. Runs are cut at common splitters of the key space (quantiles of a bounded sample of at most
-``SPLIT_SAMPLE`` captures; they affect only how even the ranges are), and each range's segments, already
+Index merge. Runs are cut at common splitters of the key space (quantiles of a sample of about
+``SPLIT_SAMPLE`` captures by a hash; they affect only how even the ranges are), and each range's segments, already
 sorted, are merged by a loser tree. Ranges in order give the whole capture history in order. A key with
 very many captures is split too, since splitters hold timestamp and page_id.
 
@@ -202,7 +202,8 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     """The merged index: (range, number, url_key, captured, page_id, archive, offset, length), in order of range and number."""
     runs = spark.read.schema(f"archive string, data binary, run array<{ENTRY}>").parquet(path).select("run")
     n = runs.agg(F.sum(F.size("run"))).first()[0] or 0
-    sample = runs.select(F.explode("run").alias("e")).select("e.*").orderBy(F.xxhash64("archive", "offset")).limit(SPLIT_SAMPLE)
+    step = max(1, n // SPLIT_SAMPLE)
+    sample = runs.select(F.explode("run").alias("e")).select("e.*").where(F.pmod(F.xxhash64("archive", "offset"), F.lit(step)) == 0)
     keys = sorted(_key(tuple(r[f] for f in _FIELDS)) for r in sample.collect())
     ranges = max(1, min(n // RANGE_CAPTURES + 1, len(keys)))
     splitters = [keys[len(keys) * i // ranges] for i in range(1, ranges)]
