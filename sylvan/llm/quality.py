@@ -32,6 +32,8 @@ from sylvan.llm.columns import without
 BUCKETS, DIM, NONZERO, REACH, SLICE = 1 << 15, 64, 4, 2, 128
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 40, 3e-3, 1e-4, 256
 FEATURES = 2 * DIM + 1
+#: Bytes of text worked on at once: a word takes some arrays of DIM numbers.
+STEP = 1 << 17
 
 
 @lru_cache(maxsize=1)
@@ -92,7 +94,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         table = np.zeros((BUCKETS, DIM), np.int64)
         for batch in batches:
             data, offsets = T.utf8(batch.column(0))
-            for a, b in T.steps(offsets):
+            for a, b in T.steps(offsets, STEP):
                 word, shape, first = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if len(word):
                     order = np.argsort(word, kind="stable")
@@ -200,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.utf8(batch.column(1))
-            for a, b in T.steps(offsets):
+            for a, b in T.steps(offsets, STEP):
                 x = pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shared.value)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(2).slice(a, b - a), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
@@ -221,7 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", most:
         vectors, network = shared.value
         for batch in batches:
             data, offsets = T.utf8(batch.column(at))
-            scores = [network.probability(pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vectors).astype(np.float64)) for a, b in T.steps(offsets)]
+            scores = [network.probability(pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vectors).astype(np.float64)) for a, b in T.steps(offsets, STEP)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
