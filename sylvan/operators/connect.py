@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sylvan.operators.pairs import symmetrised
 from sylvan.session import cut
 
 
@@ -16,7 +17,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     minimum over neighbours is pre-aggregated before its exchange. Nothing but a count reaches the driver.
     """
     links = links.select("a", "b").where("a is not null and b is not null and a <> b")
-    edges = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(links.select(F.explode(ways).alias("e")).select("e.*").distinct())
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     for _ in range(most_rounds):
         near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
@@ -52,7 +54,7 @@ def dbscan(nodes: DataFrame, dm: DataFrame, eps: float = 0.75, least: int = 3) -
     A border node joins the cluster of its nearest core node, ties to the smaller node.
     """
     near = dm.where(F.col("d") <= eps)
-    both = cut(near.select("i", "j", "d").union(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")))
+    both = cut(symmetrised(near))
     core = cut(both.groupBy("i").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("i").alias("node"))) if least > 1 else nodes
     c = core.withColumnRenamed("node", "j")
     to_core = cut(both.join(c, "j"))
@@ -60,4 +62,4 @@ def dbscan(nodes: DataFrame, dm: DataFrame, eps: float = 0.75, least: int = 3) -
     label = cut(labelled(core, inner.select(F.col("i").alias("a"), F.col("j").alias("b"))))
     border = to_core.join(core.withColumnRenamed("node", "i"), "i", "left_anti").groupBy("i").agg(F.min(F.struct("d", "j")).alias("m"))
     border = border.select(F.col("i").alias("node"), F.col("m.j").alias("via")).join(label.withColumnRenamed("node", "via"), "via").select("node", "label")
-    return nodes.join(label.union(border), "node", "left").select("node", F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
+    return nodes.join(cut(label).union(cut(border)), "node", "left").select("node", F.coalesce("label", F.lit(-1).cast("long")).alias("label"))

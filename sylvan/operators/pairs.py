@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from sylvan.session import cut
+
 BLOCK = 256
 
 
@@ -40,7 +42,8 @@ def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
                 i, j = p[r], q[s]
                 yield pa.RecordBatch.from_pydict({"i": pa.array(np.minimum(i, j)), "j": pa.array(np.maximum(i, j)), "d": pa.array(d[r, s])})
 
-    blocks = points.select("id", "x").where("id is not null and x is not null").mapInArrow(pack, "b long, ids binary, x binary")
+    # written, since both sides of the self-join must see the same block numbers, which come from task numbers
+    blocks = cut(points.select("id", "x").where("id is not null and x is not null").mapInArrow(pack, "b long, ids binary, x binary"))
     cells = 16
     deal = F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int")
     left = blocks.withColumn("r", deal).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
@@ -50,13 +53,14 @@ def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def symmetrised(dm: DataFrame) -> DataFrame:
-    """Both (i, j) and (j, i)."""
-    return dm.select("i", "j", "d").union(dm.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    """Both (i, j) and (j, i), in one pass over the pairs."""
+    back = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d")
+    return dm.select(F.explode(F.array(F.struct("i", "j", "d"), back)).alias("e")).select("e.*")
 
 
 def full(dm: DataFrame, nodes: DataFrame) -> DataFrame:
     """The square matrix: both triangles and the zero diagonal."""
-    return symmetrised(dm).union(nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("d")))
+    return symmetrised(dm).unionByName(nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("d")))
 
 
 def from_array(spark, array: np.ndarray, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
