@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import text as T
+from sylvan.llm.arrow import in_arrow
 from sylvan.llm.columns import without
 from sylvan.llm.graph import components
 from sylvan.session import cut, via_table
@@ -151,7 +152,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*names, "_fp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _fp binary")
+    return in_arrow(docs, run, f"{fields}, _fp binary")
 
 
 def signatures(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,7 +176,7 @@ def signatures(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows
                     "bands": lists,
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, n long, bands array<bigint>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp binary, n long, bands array<bigint>")
 
 
 def node_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 either = np.bincount(t, minlength=b.num_rows)
                 yield pa.RecordBatch.from_pydict({"a": b.column(0), "b": b.column(1), "similarity": pa.array(both / np.maximum(either, 1))})
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+    return in_arrow(rows.select("a", "b", "text_a", "text_b"), run, "a binary, b binary, similarity double")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +272,7 @@ def window_counts(texts: DataFrame) -> np.ndarray:
                 table[s * size : (s + 1) * size] += np.frombuffer(raw, np.int64)
         yield from slices(table)
 
-    parts = texts.select("text").mapInArrow(count, "slice int, part binary").repartition("slice").mapInArrow(add, "slice int, part binary")
+    parts = in_arrow(in_arrow(texts.select("text"), count, "slice int, part binary").repartition("slice"), add, "slice int, part binary")
     out = np.zeros(COUNTERS, np.int64)
     for r in parts.collect():  # at most COUNTER_SLICES rows
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(bytes(r["part"]), np.int64)
@@ -301,7 +302,7 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataF
                 at = pa.array(t[keep] + a)
                 yield pa.RecordBatch.from_arrays([pa.array(v[order][keep].view(np.int64)), *(batch.column(c).take(at) for c in (1, 2, 3)), pa.array(n[t[keep]]), pa.array(place[keep])], names=["window", "fp", "comp", "minor", "n", "place"])
 
-    rows = cut(mine.mapInArrow(run, "window long, fp binary, comp binary, minor boolean, n long, place long"))
+    rows = cut(in_arrow(mine, run, "window long, fp binary, comp binary, minor boolean, n long, place long"))
     x, y = rows.where("minor").alias("x"), rows.alias("y")
     most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
     need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from sylvan.llm import tokens
+from sylvan.llm.arrow import in_arrow
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids are the partition's number times this, plus a number within the partition.
@@ -146,4 +147,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         packer.finish()
         yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return in_arrow(docs.select("doc_id", "text"), run, PIECES + ", ids array<int>" * with_ids)

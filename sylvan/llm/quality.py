@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import learn, text as T
+from sylvan.llm.arrow import in_arrow
 from sylvan.llm.columns import without
 
-BUCKETS, DIM, NONZERO, REACH, SLICE = 1 << 15, 64, 4, 2, 128
+BUCKETS, DIM, NONZERO, REACH, SLICE = 1 << 15, 32, 4, 2, 128
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 40, 3e-3, 1e-4, 256
 FEATURES = 2 * DIM + 1
 #: Bytes of text worked on at once: a word takes some arrays of DIM numbers.
@@ -81,9 +82,11 @@ def _contexts(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = np.zeros_like(own)
     for k in range(1, REACH + 1):
-        same = (owner[k:] == owner[:-k])[:, None]
-        out[k:] += own[:-k] * same
-        out[:-k] += own[k:] * same
+        out[k:] += own[:-k]
+        out[:-k] += own[k:]
+        at = np.flatnonzero(owner[k:] != owner[:-k])  # take off what came over the edge between two texts
+        out[at + k] -= own[at]
+        out[at] -= own[at + k]
     return out
 
 
@@ -111,7 +114,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 sums[s] = sums[s] + part if s in sums else part
         yield from _slices(sums)
 
-    parts = docs.select("text").mapInArrow(count, "slice int, part binary").repartition("slice").mapInArrow(add, "slice int, part binary")
+    parts = in_arrow(in_arrow(docs.select("text"), count, "slice int, part binary").repartition("slice"), add, "slice int, part binary")
     out = np.zeros((BUCKETS, DIM))
     for r in parts.collect():  # BUCKETS / SLICE rows
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _unpacked(bytes(r["part"]))
@@ -206,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int =
                 x = pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shared.value)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(2).slice(a, b - a), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    rows = learn.labelled_sample(docs, labels, target, most).mapInArrow(run, "doc_id long, label int, x binary").collect()  # at most ``most`` rows
+    rows = in_arrow(learn.labelled_sample(docs, labels, target, most), run, "doc_id long, label int, x binary").collect()  # at most ``most`` rows
     rows.sort(key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     return vectors, Network().fit(x, np.array([r["label"] for r in rows], np.float64))
@@ -227,7 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", most:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return in_arrow(docs, run, f"{fields}, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

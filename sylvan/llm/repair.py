@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sylvan.llm import tokens
+from sylvan.llm.arrow import in_arrow
 from sylvan.session import table_path
 
 MAGIC = b"RPGRAM01"
@@ -235,7 +236,7 @@ def encode_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
         if held:
             yield close()
 
-    return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
+    return in_arrow(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, SHARDS)
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
@@ -262,7 +263,7 @@ def decode_documents(shards: DataFrame) -> DataFrame:
                 n = len(s.doc_ids)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "doc_id": pa.array(s.doc_ids, pa.int64()), "within": pa.array(ends - s.tokens), "n_tokens": pa.array(s.tokens), "ids_crc32": pa.array(crc, pa.int64())})
 
-    rows = shards.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = in_arrow(shards.select("part", "shard", "payload"), run, "part int, shard int, doc_id long, within long, n_tokens long, ids_crc32 long")
     sizes = shards.select("part", "shard", "n_tokens")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before(W.orderBy("part")).alias("of_part"))

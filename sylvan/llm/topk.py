@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sylvan.llm.arrow import in_arrow
 from sylvan.session import via_table
 
 #: Vectors in a candidate block and in a query block; blocks of each in a cell; dimensions in a group.
@@ -71,7 +72,7 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield emit(dim)
 
-    return vectors.mapInArrow(run, BLOCKS)
+    return in_arrow(vectors, run, BLOCKS)
 
 
 class Search:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import learn, text as T
+from sylvan.llm.arrow import in_arrow
 from sylvan.llm.columns import without
 from sylvan.session import cut
 
@@ -233,7 +234,7 @@ def _learn_words(sample: DataFrame) -> np.ndarray:
     n = {r["label"]: r["count"] for r in counts}
     if not n.get(0) or not n.get(1):
         return np.empty(0, np.uint64)
-    per = sample.select("text", "label").mapInArrow(run, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    per = in_arrow(sample.select("text", "label"), run, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n[0] + 1))
     best = per.where(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "h").limit(LEARNT).select("h")
     return np.sort(np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64))
@@ -254,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = l
                 x = np.where(own[a:b, None] == 0, x, y)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "label": batch.column(2).slice(a, b - a), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    rows = sample.select("doc_id", "text", "label", "half").mapInArrow(run, "doc_id long, label int, x binary").collect()  # at most ``most`` rows
+    rows = in_arrow(sample.select("doc_id", "text", "label", "half"), run, "doc_id long, label int, x binary").collect()  # at most ``most`` rows
     rows.sort(key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, len(NAMES))
     return Boosted(_learn_words(sample)).fit(x, np.array([r["label"] for r in rows], np.float64))
@@ -274,7 +275,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return in_arrow(docs, run, f"{fields}, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

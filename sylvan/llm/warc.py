@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from sylvan.llm.arrow import in_arrow
 from sylvan.session import cut, table_path
 
 REVISIT_BYTES = 100
@@ -132,7 +133,7 @@ def archives(pages: DataFrame, prefix: str = "captures") -> DataFrame:
         if entries:
             yield close()
 
-    return decided(pages).mapInArrow(run, f"archive string, data binary, run array<{ENTRY}>")
+    return in_arrow(decided(pages), run, f"archive string, data binary, run array<{ENTRY}>")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -151,7 +152,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     table = spark.read.schema(f"archive string, data binary, run array<{ENTRY}>").parquet(path)
     places = F.transform("run", lambda e: F.struct(e["offset"].alias("offset"), e["length"].alias("length")))
-    return table.select("archive", "data", places.alias("places")).mapInArrow(run, "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return in_arrow(table.select("archive", "data", places.alias("places")), run, "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 class LoserTree:
@@ -222,7 +223,7 @@ def history(spark: SparkSession, path: str) -> DataFrame:
         columns = {f: pa.array(c, _ENTRY.field(f).type) for f, c in zip(_FIELDS, zip(*merged))}
         return pa.table({"range": pa.array([key[0].as_py()] * len(merged), pa.int32()), "number": pa.array(range(len(merged)), pa.int64())} | columns)
 
-    cutted = runs.mapInArrow(segments, f"range int, segment array<{ENTRY}>")
+    cutted = in_arrow(runs, segments, f"range int, segment array<{ENTRY}>")
     return cutted.groupBy("range").applyInArrow(merge, "range int, number long, url_key string, captured string, page_id long, archive string, offset long, length long")
 
 
