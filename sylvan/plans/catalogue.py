@@ -563,7 +563,7 @@ L_QUERIES = {
     "likelihood_distance": (q_group_distance, LK_SQL + """, s AS (SELECT o.label AS g, lk.grp, avg(lnl) AS m FROM lk JOIN e o ON o.id = lk.elem GROUP BY ALL), l AS (SELECT s.g, s.grp, s.m - t.m AS v FROM s JOIN s t ON t.g = s.g AND t.grp = s.g)
         SELECT a.g AS i, a.grp AS j, round(-0.5 * (a.v + b.v), 6) + 0.0 AS d FROM l a JOIN l b ON a.g = b.grp AND a.grp = b.g WHERE a.g < a.grp"""),
     "info_criteria": (q_criteria, """WITH c AS (SELECT c_nationkey, count(*) AS n, -0.5 * count(*) * (ln(2 * pi() * var_pop(c_acctbal)) + 1) AS lnl FROM customer GROUP BY c_nationkey)
-        SELECT c_nationkey, round(lnl, 6) AS lnl, round(-2 * lnl + 4, 6) AS aic, round(-2 * lnl + 4 * n / (n - 3), 6) AS aicc, round(-2 * lnl + 2 * ln(n), 6) AS bic FROM c"""),
+        SELECT c_nationkey, round(lnl, 6) AS lnl, round(-2 * lnl + 4, 6) AS aic, round(-2 * lnl + 4 * n / nullif(n - 3, 0), 6) AS aicc, round(-2 * lnl + 2 * ln(n), 6) AS bic FROM c"""),
     "smooth_freqs": (q_smooth, """WITH l AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]')) AS ch FROM documents), n AS (SELECT lang, ch, count(*) AS n FROM l GROUP BY ALL)
         SELECT lang, ch, round(n / sum(n) OVER (PARTITION BY lang), 6) AS f FROM n"""),
     "weighted_means": (q_means, """SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS amean, round(exp(sum(l_quantity * ln(l_extendedprice)) / sum(l_quantity)), 4) AS gmean,

@@ -1,0 +1,48 @@
+"""The registered queries against their SQL on the smallest tables, and the entry module."""
+
+import glob
+import math
+import os
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from sylvan.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return c
+
+
+def plain(x):
+    if isinstance(x, (list, tuple, np.ndarray)):
+        return tuple(map(plain, x))
+    if isinstance(x, float):
+        return None if math.isnan(x) else round(x, 5) + 0.0
+    return x
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+def test_query_gives_the_rows_of_its_sql(spark, con, name):
+    df = catalogue.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    cur = con.execute(catalogue.SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == columns
+    want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == want
+
+
+def test_entry(spark):
+    out = entry.entry(spark)
+    assert out.columns == ["elem", "grp", "neighbour", "score"] and out.count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
