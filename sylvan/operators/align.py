@@ -37,7 +37,7 @@ def alphabets(seqs: DataFrame) -> DataFrame:
 def concatenated(seqs: DataFrame, pad: str = "?") -> DataFrame:
     """(taxon, seq, n_loci): loci joined in order for every taxon, padded where a taxon is missing."""
     lengths = seqs.groupBy("locus").agg(F.max(F.length("seq")).alias("n"))
-    grid = seqs.select("taxon").distinct().crossJoin(F.broadcast(lengths))
+    grid = seqs.select("taxon").distinct().crossJoin(lengths)
     rows = grid.join(seqs.select("taxon", "locus", "seq"), ["taxon", "locus"], "left")
     part = F.struct("locus", F.coalesce("seq", F.repeat(F.lit(pad), F.col("n"))).alias("seq"))
     out = rows.groupBy("taxon").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.count("seq").alias("n_loci"))

@@ -11,7 +11,7 @@ from sylvan.session import cut
 
 def probabilities(lk: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """(elem, grp, p): soft-max over the groups of each element, shifted by the row's maximum."""
-    rows = lk if prior is None else lk.join(F.broadcast(prior), "grp").withColumn("lnl", F.col("lnl") + F.col("log_p"))
+    rows = lk if prior is None else lk.join(prior, "grp").withColumn("lnl", F.col("lnl") + F.col("log_p"))
     w = W.partitionBy("elem")
     shifted = rows.withColumn("e", F.exp(F.col("lnl") - F.max("lnl").over(w)))
     return shifted.select("elem", "grp", (F.col("e") / F.sum("e").over(w)).alias("p"))

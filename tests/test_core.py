@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from sylvan.functions import cluster, likelihood as L, newick, scalars, treeops
