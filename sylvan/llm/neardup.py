@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from sylvan.llm import text as T
 from sylvan.llm.arrow import in_arrow
 from sylvan.llm.columns import without
-from sylvan.llm.graph import components
+from sylvan.operators.connect import components
 from sylvan.session import cut, via_table
 
 #: Five words, similarity of 0.8; 32 bands of 6 coordinates miss a pair at 0.8 with probability 6e-5.
