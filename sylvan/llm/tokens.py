@@ -2,8 +2,9 @@
 
 With a byte-level pre-tokenizer of the usual form no piece reaches from a non-space character over a
 following space: a space goes to the piece after it. A text may therefore be cut before every single
-space that stands between two non-space characters, and the ids of the cuttings, joined, are those of
-the whole text. ``Encoder`` has the library give the ids of each distinct cutting once per worker, finds
+space that stands between two non-space characters; likewise before a full stop or comma after a letter,
+and before a line feed after anything but white space. The ids of the cuttings, joined, are those of the
+whole text. ``Encoder`` has the library give the ids of each distinct cutting once per worker, finds
 known ones by a 64-bit hash in an array, and gathers their ids. Texts in which a space touches other
 white space, or with unusual white space or a special token's opening, go to the library whole.
 
@@ -35,6 +36,10 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_PUN
 MOST_WORDS, MOST_PIECES, LONGEST = 1_000_000, 120_000, 200
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -73,7 +78,7 @@ class Encoder:
     def _by_piece(self, word: str) -> bytes:
         """The ids as 32-bit integers; bytes, since the collector needn't look into them."""
         out = []
-        for piece in _PIECE.findall(word):
+        for piece in [word] if word[0] == " " and word[1:].isalpha() else _PIECE.findall(word):
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = self.pieces[piece] = array("i", [t.id for t in self.model.tokenize(piece.translate(self.spelled))]).tobytes()
@@ -105,9 +110,17 @@ class Encoder:
         """Codes of new cuttings, with their ids from the library."""
         if len(self.pieces) > MOST_PIECES:
             self.pieces = {}
-        plain = [_PLAIN.fullmatch(w) is not None for w in new]
-        others = iter(self._whole([w for w, p in zip(new, plain) if not p]))
-        ids = [self._by_piece(w) if p else array("i", next(others)).tobytes() for w, p in zip(new, plain)]
+        tokenize, ids, others = self.model.tokenize, [], []
+        for k, w in enumerate(new):
+            if w[0] == " " and w.isascii() and w[1:].isalpha():  # one piece
+                ids.append(array("i", [t.id for t in tokenize(self.spelled[32] + w[1:])]).tobytes())
+            elif _PLAIN.fullmatch(w):
+                ids.append(self._by_piece(w))
+            else:
+                ids.append(b"")
+                others.append(k)
+        for k, x in zip(others, self._whole([new[k] for k in others])):
+            ids[k] = array("i", x).tobytes()
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         total = int(n.sum())
         while len(self.begin) < self.n + len(new):
@@ -151,6 +164,10 @@ class Encoder:
         docs, whole = len(offsets) - 1, self._must_go_whole(data, offsets)
         cut = np.zeros(len(data) + 1, bool)
         cut[:-1] = data == 32
+        after, before = data[1:], data[:-1]
+        letter = _LETTER[before]
+        letter[1:] |= (data[:-2] == 0xC3) & (before[1:] != 0x97) & (before[1:] != 0xB7)
+        cut[1:-1] |= ((after == 46) | (after == 44)) & letter | (after == 10) & (before != 10)
         cut[offsets[:-1]] = True
         cut[-1] = False
         begin = np.flatnonzero(cut)
