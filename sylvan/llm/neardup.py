@@ -27,7 +27,7 @@ doc_id. Ties go to the smaller fingerprint or doc_id. Empty table: no rows. Othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from sylvan.session import cut, via_table
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
 #: Texts whose darts are thrown at once; a text has about k ln k + 2k of them however short it is.
 DART_TEXTS = 64
-#: Counters that order windows by rarity, and the slices in which they are added up.
+#: Counters that order windows by rarity or mark nodes, and the slices in which they are added up.
 COUNTERS, COUNTER_SLICES = 1 << 20, 256
 _SEEDS = [T.seeded(s) for s in range(8)]
 
@@ -179,10 +179,52 @@ def signatures(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows
     return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp binary, n long, bands array<bigint>")
 
 
+def _added_up(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[np.ndarray]], most: int | None = None) -> np.ndarray:
+    """``COUNTERS`` counters, from the places that ``marks`` gives for each batch; a table of fixed size, whatever the input."""
+    size = COUNTERS // COUNTER_SLICES
+
+    def slices(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = [s for s in range(COUNTER_SLICES) if table[s * size : (s + 1) * size].any()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "part": pa.array([table[s * size : (s + 1) * size].tobytes() for s in some], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for at in marks(batch):
+                table += np.bincount((at % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        yield from slices(table if most is None else np.minimum(table, most))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table[s * size : (s + 1) * size] += np.frombuffer(raw, np.int64)
+        yield from slices(table)
+
+    parts = in_arrow(in_arrow(rows, count, "slice int, part binary").repartition("slice"), add, "slice int, part binary")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in parts.collect():  # at most COUNTER_SLICES rows
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(bytes(r["part"]), np.int64)
+    return out
+
+
 def node_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(fp, text): one text of each node in ``needed`` (fp, doc_id), the only texts that move."""
-    of = needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc"))
-    texts = fingerprinted(docs.select("doc_id", "text")).join(of, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
+    """(fp, text): one text of each node in ``needed`` (fp, doc_id), the only texts that move.
+
+    A bit for each hashed fingerprint that is needed goes to the scan, a table of fixed size, so that the
+    other texts, but for chance hits, are dropped before the join's exchange.
+    """
+    needed = cut(needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc")))
+    mark = lambda column: np.frombuffer(b"".join(x[:8] for x in column.to_pylist()), np.uint64)
+    wanted = docs.sparkSession.sparkContext.broadcast(_added_up(needed.select("_fp"), lambda batch: iter([mark(batch.column(0))]), 1) > 0)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(batch.column(2).is_valid())
+            yield some.filter(pa.array(wanted.value[(mark(some.column(2)) % np.uint64(COUNTERS)).astype(np.int64)]))
+
+    found = in_arrow(fingerprinted(docs.select("doc_id", "text")), pick, "doc_id long, text string, _fp binary")
+    texts = found.join(needed, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
     return via_table(texts.select(F.col("_fp").alias("fp"), "text").dropDuplicates(["fp"]), "texts")
 
 
@@ -251,32 +293,8 @@ def _window_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int,
 
 
 def window_counts(texts: DataFrame) -> np.ndarray:
-    """How many texts hold a window, by ``COUNTERS`` hashed counters: a table of fixed size, whatever the input."""
-    size = COUNTERS // COUNTER_SLICES
-
-    def slices(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        some = [s for s in range(COUNTER_SLICES) if table[s * size : (s + 1) * size].any()]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "part": pa.array([table[s * size : (s + 1) * size].tobytes() for s in some], pa.binary())})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, _, v, _ in _window_sets(batch, 0):
-                table += np.bincount((v % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield from slices(table)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                table[s * size : (s + 1) * size] += np.frombuffer(raw, np.int64)
-        yield from slices(table)
-
-    parts = in_arrow(in_arrow(texts.select("text"), count, "slice int, part binary").repartition("slice"), add, "slice int, part binary")
-    out = np.zeros(COUNTERS, np.int64)
-    for r in parts.collect():  # at most COUNTER_SLICES rows
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(bytes(r["part"]), np.int64)
-    return out
+    """How many texts hold a window, by hashed counters."""
+    return _added_up(texts.select("text"), lambda batch: (v for _, _, v, _ in _window_sets(batch, 0)))
 
 
 def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
