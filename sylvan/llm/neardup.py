@@ -214,7 +214,7 @@ def node_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     A bit for each hashed fingerprint that is needed goes to the scan, a table of fixed size, so that the
     other texts, but for chance hits, are dropped before the join's exchange.
     """
-    needed = cut(needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc")))
+    needed = needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc"))
     mark = lambda column: np.frombuffer(b"".join(x[:8] for x in column.to_pylist()), np.uint64)
     wanted = docs.sparkSession.sparkContext.broadcast(_added_up(needed.select("_fp"), lambda batch: iter([mark(batch.column(0))]), 1) > 0)
 
