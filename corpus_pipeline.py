@@ -44,8 +44,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, with their token ids."""
-    return packing.pack(docs, with_ids=True)
+    """Pieces of documents in sequences of at most 2048 tokens, with their token ids.
+
+    The mixture's training order is that of its files and of the rows in them; sequence ids follow it.
+    """
+    return packing.pack(docs, with_ids=True, by_file=bool(docs.inputFiles()))
 
 
 STAGES = [

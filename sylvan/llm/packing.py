@@ -6,7 +6,9 @@ afterwards is least (starting a sequence is level 0); this keeps levels spread o
 document finds a sequence that it fills up. Documents longer than the capacity first give whole sequences.
 
 Each partition packs what it reads, in reading order, in one narrow pass: no shuffle, and a task that is
-run again gives the same sequences. A partition keeps ids only of sequences still open, at most
+run again gives the same sequences. With ``by_file`` the files read have an order, that of their part
+numbers: each split of a file is packed by itself and numbered by file and place, so sequence ids follow
+files and splits however Spark deals the splits out to partitions. A partition keeps ids only of sequences still open, at most
 ``most_open``; beyond that, and at its end, the open ones are joined and cut anew at the capacity. The
 rest that is left at the end goes to sequences of power-of-two length, which need no padding.
 
@@ -16,13 +18,15 @@ the fullest. Empty table: no rows. Columns of the input other than doc_id and te
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from sylvan.llm import tokens
 from sylvan.llm.arrow import in_arrow
@@ -30,6 +34,8 @@ from sylvan.llm.arrow import in_arrow
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids are the partition's number times this, plus a number within the partition.
 PER_PARTITION = 1 << 40
+#: By file: the file's number times PER_PARTITION, plus the split's number times this, plus a number within the split.
+PER_SPLIT = 1 << 28
 
 
 class SumOfSquares:
@@ -108,13 +114,53 @@ class SumOfSquares:
         self._join(last=True)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, most_open: int = 4096, with_ids: bool = False) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ids if asked for."""
+def file_numbers(files: Iterable[str]) -> dict[str, int]:
+    """The place of each file, by its path, in the order of part numbers, then of names."""
+
+    def place(path: str) -> tuple[int, str]:
+        part = re.search(r"part-(\d+)[^/]*$", path)
+        return (int(part[1]) if part else -1, path)
+
+    return {p: k for k, p in enumerate(sorted({urlparse(f).path for f in files}, key=place))}
+
+
+def split_start(numbers: dict[str, int], path: str, start: int, length: int, size: int) -> int:
+    """The first sequence id of a file's split. All splits of a file but the last are of one length."""
+    last = PER_PARTITION // PER_SPLIT - 1
+    k, off = (last, 0) if start + length >= size else divmod(start, length)
+    file = numbers[urlparse(path).path]
+    if off or k > last or (k == last and start + length < size) or file >= 1 << 23:
+        raise ValueError(f"no number for the split at {start} of {path}")
+    return file * PER_PARTITION + k * PER_SPLIT
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, most_open: int = 4096, with_ids: bool = False, by_file: bool = False) -> DataFrame:
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ids if asked for.
+
+    ``by_file`` needs a table as it is read from files, without a shuffle in between.
+    """
     path = tokenizer or tokens.tokenizer_path()
+    rows_in = docs.select("doc_id", "text")
+    numbers: dict[str, int] = {}
+    if by_file:
+        m = docs.metadataColumn("_metadata")
+        rows_in = docs.select("doc_id", "text", F.struct(*[m[c].alias(c) for c in ("file_path", "file_block_start", "file_block_length", "file_size")], F.input_file_block_start().alias("here")).alias("split"))
+        numbers = file_numbers(docs.inputFiles())
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple | None, int, int]]:
+        """(split, first row, end) of the rows of one split after the other."""
+        if not by_file:
+            yield None, 0, batch.num_rows
+            return
+        keys = list(zip(*(c.to_pylist() for c in batch.column(2).flatten())))
+        edges = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        for a, b in zip(edges, [*edges[1:], len(keys)]):
+            yield keys[a], a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SumOfSquares(capacity, most_open)
         number = TaskContext.get().partitionId() * PER_PARTITION
+        split, seen = None, set()
         end = np.array([end_id], np.int32)
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
         if with_ids:
@@ -130,6 +176,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
                     pieces.append(ids)
                     offset += len(ids)
                 number += 1
+            if split and number - split_start(numbers, *split[:-1]) > PER_SPLIT:
+                raise ValueError(f"too many sequences in one split of {split[0]}")
             packer.closed = []
             columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)]
             if with_ids:
@@ -139,12 +187,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for i, ids in tokens.encoded(batch.column(1), path):
-                packer.add((doc_ids[i], len(ids) + 1), np.concatenate([ids, end]))
-                if len(packer.closed) >= 1024:
+            for at, a, b in runs(batch):
+                if at != split:
+                    packer.finish()
                     yield rows()
-            yield rows()
+                    if at in seen or at[-1] != at[1]:  # Spark knows no place in a file after a shuffle
+                        raise ValueError("the table isn't as it was read: rows of splits may be apart")
+                    seen.add(at)
+                    split, number = at, split_start(numbers, *at[:-1])
+                for i, ids in tokens.encoded(batch.column(1).slice(a, b - a), path):
+                    packer.add((doc_ids[a + i], len(ids) + 1), np.concatenate([ids, end]))
+                    if len(packer.closed) >= 1024:
+                        yield rows()
+                yield rows()
         packer.finish()
         yield rows()
 
-    return in_arrow(docs.select("doc_id", "text"), run, PIECES + ", ids array<int>" * with_ids)
+    return in_arrow(rows_in, run, PIECES + ", ids array<int>" * with_ids)

@@ -302,3 +302,34 @@ def test_stages_keep_columns_and_take_effect(spark, sf, empty):
         docs = neardup.via_table(stage(spark, docs, empty), f"test-none-{name}")
         assert docs.count() == 0
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+
+
+def test_sequences_follow_the_mixture_over_files(spark, tmp_path):
+    """Later files are larger, and Spark reads the largest first; one is read in several splits."""
+    rows = [(i, " ".join(f"x{(i * 7919 + j * 104729) % 99991}" for j in range(10 + 4 * i)), "a") for i in range(600)]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id")
+    mixed.write.option("parquet.block.size", 1 << 14).option("parquet.page.size.row.check.min", 10).parquet(f"{tmp_path}/mixture")
+    conf = {"spark.sql.files.maxPartitionBytes": "200k", "spark.sql.files.openCostInBytes": "1k"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(f"{tmp_path}/mixture")
+        place = {r[0]: (r[1], r[2]) for r in docs.selectExpr("doc_id", "_metadata.file_name", "_metadata.file_block_start").collect()}
+        out = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len({f for f, _ in place.values()}) == 6 and len(set(place.values())) > 6
+    spans = defaultdict(list)
+    for r in out:
+        spans[place[r["doc_id"]]].append((r["sequence_id"], r["doc_id"]))
+    for a, b in zip(sorted(spans), sorted(spans)[1:]):
+        assert max(spans[a])[0] < min(spans[b])[0] and max(d for _, d in spans[a]) < min(d for _, d in spans[b])
+    spot = defaultdict(int)
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == spot[r["sequence_id"]]
+        spot[r["sequence_id"]] += r["length"]
+    assert sum(r["length"] for r in out) == sum(len(ids_of(t, 1)) for _, t, _ in rows)
+    with pytest.raises(Exception, match="isn't as it was read"):
+        packing.pack(docs.repartition(3), by_file=True).collect()
