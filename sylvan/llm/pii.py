@@ -29,10 +29,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sylvan.llm.columns import without
 
+#: Characters of an IBAN by country. Other countries, and those whose length has changed, have no bound.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """By the country's length, else as many groups as there are; ``_iban`` then finds where it ends."""
+    ends = "(?![A-Za-z0-9])"
+    of = lambda n: r"\d{2}(?: ?[A-Z0-9]{4}){%d}" % (n // 4 - 1) + (r" ?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")
+    bound = "|".join(f"(?:{c.replace(' ', '|')}){of(n)}{ends}" for n, c in IBAN_COUNTRIES.items())
+    return r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2})(?:" + bound + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + ends + ")"
+
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
@@ -136,16 +153,26 @@ def _card(m: Column, key: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    def use(v: Column) -> Column:
-        body, country = F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 2)
+    def remainder(v: Column) -> Column:
+        return remainder_97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4)))
+
+    def use(spelling: Column) -> Column:
+        v = F.regexp_replace(spelling, " ", "")
+        country = F.substring(v, 1, 2)
 
         def made(p: Column) -> Column:
             check = F.lpad((F.lit(98) - remainder_97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0")
-            return _let(F.concat(country, check, p), lambda x: _refilled(m, x, "A-Z0-9"))
+            return _let(F.concat(country, check, p), lambda x: F.concat(_refilled(spelling, x, "A-Z0-9"), F.substring(m, F.length(spelling) + 1, F.length(m))))
+
+        return F.when(spelling.isNotNull(), _let(permuted(F.substring(v, F.lit(5), F.length(v)), "iban", key), made))
 
-        return F.when(remainder_97(F.concat(body, F.substring(v, 1, 4))) == 1, _let(permuted(body, "iban", key), made))
+    def longest(tokens: Column) -> Column:
+        """The candidate without as few of its last tokens as it takes to pass the check; whole, if its country has a length."""
+        bound = F.substring(m, 1, 2).isin(" ".join(IBAN_COUNTRIES.values()).split())
+        tries = F.when(bound, F.array(m)).otherwise(F.transform(F.sequence(F.size(tokens), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(tokens, F.lit(1), k), " ")))
+        return F.get(F.filter(tries, lambda t: _let(F.regexp_replace(t, " ", ""), lambda v: (F.length(v) >= 12) & (remainder(v) == 1))), F.lit(0))
 
-    return _let(F.regexp_replace(m, " ", ""), use)
+    return _let(longest(F.split(m, " ")), use)
 
 
 def _ip(m: Column, key: Column) -> Column:
