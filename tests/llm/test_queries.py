@@ -361,3 +361,11 @@ def test_ibans_end_where_they_end(spark):
             assert r["n_pseudonyms"] == 1 and rest == after, r
     one = out.where(F.col("iban").startswith("BE68")).select(F.regexp_replace("iban", " ", "").alias("iban"), pii.pseudonym(F.col("iban"), F.lit("k")).alias("p"))
     assert one.select(F.regexp_replace("p", " ", "")).distinct().count() == 1
+
+
+def test_quality_features_have_all_dimensions(spark, sf):
+    """Random indexing with 64 dimensions, all of them in use: a document has 2 * 64 + 1 features."""
+    vectors = quality.word_vectors(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert vectors.shape == (1 << 15, 64) and vectors.any(axis=0).all()
+    x = quality.pooled(np.frombuffer(b"the quick words", np.uint8), np.array([0, 15]), vectors)
+    assert x.shape == (1, 129) and (quality.index_vectors() != 0).any(axis=0).all()
