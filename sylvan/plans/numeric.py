@@ -147,12 +147,12 @@ QUERIES = {
     "cmds_embedding": _embedding("cmds"),
     "kpca_embedding": _embedding("kpca"),
     "spectral_embedding": _embedding("spectral"),
-    "mmds_embedding": _embedding("mmds", rounds=30),
+    "mmds_embedding": _embedding("mmds"),
     "ward_cluster": _clusters(lambda m: cluster.flat(cluster.linkage(m, "ward"), len(m), 10)),
     "average_cluster": _clusters(lambda m: cluster.flat(cluster.linkage(m, "average"), len(m), 10)),
     "spectral_cluster": _clusters(lambda m: cluster.labels(cluster.spectral(cluster.local_affinity(m), 5, True), 5, "ward")),
-    "kmedoids": _clusters(lambda m: cluster.kmedoids(m, 10, 7, 5)[0]),
-    "affinity_propagation": _clusters(lambda m: cluster.affinity_propagation(cluster.rbf(m), rounds=100)),
+    "kmedoids": _clusters(lambda m: cluster.kmedoids(m, 10, 7)[0]),
+    "affinity_propagation": _clusters(lambda m: cluster.affinity_propagation(cluster.rbf(m))),
     "oos_mds": oos_mds,
     "analytical_placement": analytical_placement,
     "column_bootstrap": column_bootstrap,

@@ -46,3 +46,27 @@ def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["elem", "grp", "neighbour", "score"] and out.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name,kernel,setting,value", [("mmds_embedding", "smacof", "rounds", 300), ("kmedoids", "kmedoids", "starts", 100), ("affinity_propagation", "affinity_propagation", "rounds", 400)])
+def test_dense_queries_do_the_whole_job_of_their_operators(monkeypatch, name, kernel, setting, value):
+    import inspect
+
+    from sylvan.functions import cluster
+    from sylvan.plans import numeric
+
+    real, used = getattr(cluster, kernel), []
+
+    def spy(*a, **k):
+        bound = inspect.signature(real).bind(*a, **k)
+        bound.apply_defaults()
+        used.append(bound.arguments[setting])
+        return real(*a, **k)
+
+    x = np.random.default_rng(3).normal(size=(40, 4))
+    m = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    monkeypatch.setattr(cluster, kernel, spy)
+    monkeypatch.setattr(numeric, "_dense", lambda *_: (m, list(range(40))))
+    for out in ("_coords", "_groups"):
+        monkeypatch.setattr(numeric, out, lambda spark, ids, made: made)
+    assert len(numeric.QUERIES[name](None, "")) == 40 and used == [value]
