@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sylvan.operators.pairs import symmetrised
-from sylvan.session import cut
+from sylvan.session import cut, free
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,13 +21,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = cut(links.select(F.explode(ways).alias("e")).select("e.*").distinct())
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy("b").agg(F.min("label").alias("near"))
         step = cut(labels.join(near.withColumnRenamed("b", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = cut(step.join(jump, "label").select("node", "was", F.least("label", "above").alias("label")))
+        last, labels = labels, cut(step.join(jump, "label").select("node", "was", F.least("label", "above").alias("label")))
+        free(last, step)
         if labels.where("was <> label").isEmpty():
+            free(edges)
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

@@ -28,8 +28,8 @@ def r6(c: Column | str) -> Column:
 
 E_SQL = """
 WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, label FROM embeddings),
-dm AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.id < b.id),
-sq AS (SELECT i, j, d FROM dm UNION ALL SELECT j, i, d FROM dm UNION ALL SELECT id, id, 0.0::DOUBLE FROM e)"""
+dm AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.id < b.id),
+sq AS MATERIALIZED (SELECT i, j, d FROM dm UNION ALL SELECT j, i, d FROM dm UNION ALL SELECT id, id, 0.0::DOUBLE FROM e)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,9 @@ def q_fit(spark, d):
 
 
 RANKED = """, rk AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM sq),
-kd AS (SELECT i, d AS kd FROM rk WHERE r = {k} + 1)"""
-MASK = "SELECT sq.i, sq.j FROM sq JOIN kd a ON a.i = sq.i JOIN kd b ON b.i = sq.j WHERE sq.d <= a.kd {logic} sq.d <= b.kd"
+kd AS MATERIALIZED (SELECT i, d AS kd FROM rk WHERE r = {k} + 1)"""
+#: Every pair with its first end's k-th distance, then the second's; joined one after the other.
+MASK = """SELECT i, j FROM (SELECT h.i, h.j, h.d, h.ki, b.kd AS kj FROM (SELECT sq.i, sq.j, sq.d, a.kd AS ki FROM sq JOIN kd a ON a.i = sq.i) h JOIN kd b ON b.i = h.j) WHERE d <= ki {logic} d <= kj"""
 AFFINITY = """, md AS (SELECT i, median(d) AS m FROM sq GROUP BY i),
 af AS (SELECT sq.i, sq.j, CASE WHEN sq.i = sq.j THEN 1.0::DOUBLE ELSE exp(-(sq.d * sq.d / (a.m * b.m))) END AS a FROM sq JOIN md a ON a.i = sq.i JOIN md b ON b.i = sq.j)"""
 LAPLACE = AFFINITY + """, dg AS (SELECT i, CASE WHEN sum(a) - 1 <= 1e-10 THEN 1 ELSE sum(CASE WHEN i <> j THEN a ELSE 0 END) END AS g FROM af GROUP BY i)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,25 +30,28 @@ def local_session(cores: int = 8, app: str = "sylvan", **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` (or an earlier ``setCheckpointDir``) names; only where
-    neither is set, as in tests, a temporary folder of this machine is taken and made known to Spark.
+    It is what ``spark.checkpoint.dir`` (or an earlier ``setCheckpointDir``) names. Only a local session, as
+    in tests, may leave both out: driver and tasks are then one process, and a temporary folder is taken
+    and made known to Spark. On a cluster that is an error, since executors would write to different disks.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     known = sc.getCheckpointDir()
     if known is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="sylvan-shared-")
         sc.setCheckpointDir(named)
     return (named or known).rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table that lives as long as the driver."""
+    """A new path in the shared folder for a table that lives as long as the driver, if it isn't freed."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -55,7 +59,9 @@ def via_table(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again."""
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,11 +69,23 @@ def cut(df: DataFrame) -> DataFrame:
     return via_table(df, "cut")
 
 
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete written tables. Only for those of which every reader's rows have been written in their turn."""
+    for t in tables:
+        if t._table_path in _written:
+            _delete(t._table_path)
+
+
 @atexit.register
 def _remove() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(path)
         except Exception:  # the session has ended; whoever owns the folder clears it
             return
