@@ -19,7 +19,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int = MOST_ROWS) -> DataFrame:
-    """(doc_id, text, label) of the sample, one row for each doc_id; the labels' side is bounded by ``most``."""
+    """(doc_id, text, label) of the sample; the labels' side is bounded by ``most``.
+
+    One row for each doc_id: of several rows with one id, the least text, a null one last. Of several labels, the greatest.
+    """
     chosen = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -1,50 +1,64 @@
 """Near-duplicate documents by DartMinHash signatures, banded joining, and exact verification.
 
-A text is the set of its five-word windows (words are runs of characters other than space and \\x09-\\x0D),
-or with ``weighted`` the multiset. DartMinHash throws darts, fixed by hashing, at a plane for each element:
-one axis is weight, the other rank, with one dart per unit area on average. Of the darts below the
-element's weight, each belongs to one of ``k`` coordinates, and a coordinate's value is its dart of least
-rank. Two texts agree in a coordinate with the probability of their (weighted) Jaccard similarity. A text
-needs about k ln k + 2k darts however many elements it has; if a coordinate stays empty, ranks are
-doubled for that text.
+A text is the multiset of its five-word windows (words are runs of characters other than space and
+\\x09-\\x0D), a window's weight being how often it occurs; without ``weighted``, their set. DartMinHash throws
+darts, fixed by hashing, at a plane for each element: one axis is weight, the other rank, with one dart per
+unit area on average. Of the darts below the element's weight, each belongs to one of ``k`` coordinates, and a
+coordinate's value is its dart of least rank. Two texts agree in a coordinate with the probability of their
+weighted Jaccard similarity (the sum of the lesser weights over that of the greater). A text needs about
+k ln k + 2k darts however many elements it has; if a coordinate stays empty, ranks are doubled for that text.
 
 Linking. Equal word sequences are one node (128-bit fingerprint), so copies cost nothing further. Nodes
 that share a band of coordinates form a bucket; its members are first checked against one hub, the member
 with most company in all its buckets, so a group of n near copies needs about n checks and not n**2. Every
-link is verified by the exact similarity of the window sets. Members of buckets that are then still in
-several components are joined exactly, by a prefix and position filter over their windows, against all others
-in such buckets, so that no link that a bucket shows is lost; this costs rows only for pairs that may be
-links, not for all pairs of a bucket. Links make classes by connected components.
-
-Scale. Signatures are one narrow pass. The tables after it hold band keys and fingerprints, not texts, and
-single-member buckets are dropped by a pre-aggregated count; texts move only for nodes in a candidate pair.
+link is verified by the exact similarity. Members of buckets that are then still in several components are
+joined exactly, by a prefix and position filter over their windows, against all others in such buckets, so
+that no link that a bucket shows is lost; this costs rows only for pairs that may be links, not for all
+pairs of a bucket, and a window that very many texts share is dealt to several tasks. Links make classes by
+connected components.
+
+Scale. Signatures are one narrow pass. Band keys are combined before their exchange: within a task, nodes
+that share a key are marked and only one of them is sent on, so a bucket with a third of all texts leaves a
+row for each task; one exchange by key shows the other buckets, and single members end there. Texts move
+only for nodes in a bucket: a bit for each hashed fingerprint that is needed (of at most ``FILTER_BITS``,
+whatever the input) goes to the scan and drops the others before the exchange; beyond that size the filter
+lets more texts pass and loses none. Tables are deleted when all that read them are written.
 
 Defined results. Null text, or a text without words: a class of its own, no links. Fewer than five words: one
-window of all words. Repeated rows: copies. Null doc_id: takes part; a class's id is its least non-null
-doc_id. Ties go to the smaller fingerprint or doc_id. Empty table: no rows. Other columns aren't read by
-``near_duplicates`` and are kept as they are by ``drop_near_duplicates``.
+window of all words. Very long texts: whole, each by itself in memory. Repeated rows: copies. Null doc_id:
+takes part; a class's id is its least non-null doc_id, null if it has none. Ties go to the smaller fingerprint
+or doc_id; of rows with one doc_id and the same words, the one with the least hash of all its columns stays.
+Empty table: no rows. Other columns, whatever their names, aren't read by ``near_duplicates`` and are kept as
+they are by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from sylvan.llm import text as T
 from sylvan.llm.arrow import in_arrow
-from sylvan.llm.columns import without
+from sylvan.llm.columns import extended, named, without
 from sylvan.operators.connect import components
-from sylvan.session import cut, via_table
+from sylvan.session import cut, free, via_table
 
 #: Five words, similarity of 0.8; 32 bands of 6 coordinates miss a pair at 0.8 with probability 6e-5.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
 #: Texts whose darts are thrown at once; a text has about k ln k + 2k of them however short it is.
 DART_TEXTS = 64
+#: Documents whose band keys a task combines at a time.
+COMBINED = 1 << 15
+#: Bits of the filter of fingerprints at most (16 MB), and bits of one of its slices.
+FILTER_BITS, SLICE_BITS = 1 << 27, 1 << 16
 #: Counters that order windows by rarity, and the slices in which they are added up.
 COUNTERS, COUNTER_SLICES = 1 << 20, 256
+#: Texts that share a window, and times the mean counter, above which the window is dealt to several tasks, at most so many.
+HOT, HOT_TIMES, MOST_DEALT = 2048, 8, 64
 _SEEDS = [T.seeded(s) for s in range(8)]
 
 
@@ -134,29 +148,47 @@ def _nodes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, first, element, owner
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """All columns, and ``_fp``, the fingerprint of the words; null where there are none."""
+def elements(data: np.ndarray, offsets: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(element, text): the distinct windows of each text, or each of their occurrences as an element of its own.
+
+    The Jaccard similarity of the latter sets is the weighted one of the multisets.
+    """
+    _, _, element, owner = _nodes(data, offsets)
+    v, t, times = T.distinct(element, owner)
+    if not weighted or not len(v) or times.max() == 1:
+        return v, t
+    at = np.repeat(np.arange(len(v)), times)
+    copy = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    return np.where(copy > 0, T.mix(v[at] ^ T.mix(copy.astype(np.uint64) + _SEEDS[7])), v[at]), t[at]
+
+
+def fingerprinted(docs: DataFrame, picks: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """All columns, and ``_fp``, the fingerprint of the words; null where there are none.
+
+    ``picks`` says, from the fingerprints as two numbers and from whether there are words, which rows stay.
+    """
     docs = without(docs, ["_fp"])
-    names = docs.columns
-    at = names.index("text")
+    at, schema = docs.columns.index("text"), extended(docs, _fp=BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.utf8(batch.column(at))
-            marks = []
+            fps, some = [np.empty((0, 2), np.uint64)], [np.empty(0, bool)]
             for a, b in T.steps(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 begin, end, first = T.words(part, off)
-                fp = _fingerprints(T.hash_spans(part, begin, end), first)
-                marks += [None if n == 0 else x.tobytes() for n, x in zip(np.diff(first), fp)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*names, "_fp"])
+                fps.append(_fingerprints(T.hash_spans(part, begin, end), first))
+                some.append(np.diff(first) > 0)
+            fp, has = np.concatenate(fps), np.concatenate(some)
+            marks = pa.array([x.tobytes() if s else None for x, s in zip(fp, has)], pa.binary())
+            out = pa.RecordBatch.from_arrays([*batch.columns, marks], names=schema.names)
+            yield out if picks is None else out.filter(pa.array(picks(fp, has)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs, run, f"{fields}, _fp binary")
+    return in_arrow(docs, run, schema)
 
 
-def signatures(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, fp, n, bands): fingerprint, number of distinct windows, band keys."""
+def signatures(docs: DataFrame, weighted: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, fp, n, bands): fingerprint, number of windows (distinct ones if unweighted), band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,34 +196,136 @@ def signatures(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows
             for a, b in T.steps(offsets):
                 h, first, element, owner = _nodes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 element, owner, times = T.distinct(element, owner)
+                weight = times.astype(np.float64) if weighted else np.ones(len(element))
                 some = np.diff(first) > 0
-                sig = dart_signatures(element, times.astype(np.float64) if weighted else np.ones(len(element)), owner, b - a, bands * rows)
-                keys = band_keys(sig, bands, rows)
+                keys = band_keys(dart_signatures(element, weight, owner, b - a, bands * rows), bands, rows)
                 fp = _fingerprints(h, first)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(a, b - a),
                     "fp": pa.array([x.tobytes() if s else None for x, s in zip(fp, some)], pa.binary()),
-                    "n": pa.array(np.bincount(owner, minlength=b - a).astype(np.int64)),
+                    "n": pa.array(np.bincount(owner, weight, b - a).astype(np.int64)),
                     "bands": lists,
                 })
 
     return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp binary, n long, bands array<bigint>")
 
 
+def _numbers(fps: pa.Array) -> np.ndarray:
+    """(rows, 2): fingerprints as pairs of numbers."""
+    return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def _as_binary(fp: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.ascontiguousarray(fp)], pa.binary())
+
+
+def _combined(sig: DataFrame, shared: bool) -> DataFrame:
+    """(key, x, y), a fingerprint's halves, from some thousands of documents of a task at a time.
+
+    Either a row for each key, that of its least fingerprint, or all rows of keys that several nodes share.
+    """
+
+    def emit(keys: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        fp, first = np.unique(np.concatenate(fps), axis=0, return_index=True)
+        key = np.concatenate(keys)[first]
+        node = np.repeat(np.arange(len(fp)), key.shape[1])
+        order = np.argsort(key.reshape(-1), kind="stable")
+        k, node = key.reshape(-1)[order], node[order]
+        again = np.concatenate([[False], k[1:] == k[:-1]]) if len(k) else np.empty(0, bool)
+        keep = again | np.append(again[1:], False) if shared and len(k) else ~again
+        return pa.RecordBatch.from_pydict({"key": pa.array(k[keep]), "x": pa.array(fp[node[keep], 0].view(np.int64)), "y": pa.array(fp[node[keep], 1].view(np.int64))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        fps: list[np.ndarray] = []
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(1)
+                flat = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+                keys.append(flat.reshape(batch.num_rows, -1))
+                fps.append(_numbers(batch.column(0)))
+                if sum(map(len, fps)) >= COMBINED:
+                    yield emit(keys, fps)
+                    keys, fps = [], []
+        if fps:
+            yield emit(keys, fps)
+
+    return in_arrow(sig.where("fp is not null").select("fp", "bands"), run, "key long, x long, y long")
+
+
+def members(sig: DataFrame) -> DataFrame:
+    """(key, fp) of all nodes that share a band's key with another node."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; the last row of a batch waits for the next one."""
+        last, done = np.empty((0, 3), np.int64), False
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))] if len(rows) else rows
+            if not len(rows):
+                continue
+            again = rows[1:, 0] == rows[:-1, 0]
+            hit = np.append(False, again) | np.append(again, False)
+            emit = hit.copy()
+            if done:
+                emit[0] = False
+            done = bool(hit[-1]) or (done and len(rows) == 1)
+            last = rows[-1:]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(rows[emit, 0]), "fp": _as_binary(rows[emit, 1:])})
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1) if batch.num_rows else np.empty((0, 3), np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(rows[:, 0]), "fp": _as_binary(rows[:, 1:])})
+
+    sent = _combined(sig, False).repartition("key").sortWithinPartitions("key", "x", "y")
+    return in_arrow(sent, runs, "key long, fp binary").union(in_arrow(_combined(sig, True), plain, "key long, fp binary"))
+
+
+class Filter:
+    """Which fingerprints may be in a set: a bit for each hashed one, of a size that is bounded whatever the set."""
+
+    def __init__(self, fps: DataFrame) -> None:
+        """From a table (fp) of distinct fingerprints; slices of the bits are made by tasks, and put together here."""
+        self.bits = min(FILTER_BITS, max(SLICE_BITS, 1 << (8 * fps.count()).bit_length()))
+        bits = self.bits
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = (_numbers(batch.column(0))[:, 0] % np.uint64(bits)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"slice": pa.array((at // SLICE_BITS).astype(np.int32)), "place": pa.array((at % SLICE_BITS).astype(np.int32))})
+
+        def part(key: tuple, table: pa.Table) -> pa.Table:
+            some = np.zeros(SLICE_BITS, bool)
+            some[table.column("place").to_numpy()] = True
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([np.packbits(some).tobytes()], pa.binary())})
+
+        self.table = np.zeros(bits // 8, np.uint8)
+        for r in in_arrow(fps.select("fp"), places, "slice int, place int").groupBy("slice").applyInArrow(part, "slice int, part binary").collect():  # FILTER_BITS / SLICE_BITS rows at most
+            at = r["slice"] * SLICE_BITS // 8
+            self.table[at : at + SLICE_BITS // 8] = np.frombuffer(bytes(r["part"]), np.uint8)
+
+    def __call__(self, fp: np.ndarray) -> np.ndarray:
+        at = (fp[:, 0] % np.uint64(self.bits)).astype(np.int64)
+        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def node_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(fp, text): one text of each node in ``needed`` (fp, doc_id), the only texts that move."""
-    of = needed.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_doc"))
-    texts = fingerprinted(docs.select("doc_id", "text")).join(of, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
+    """(fp, text): one text of each node in ``needed`` (fp, doc_id); but for chance hits of the filter, only these texts move."""
+    wanted = docs.sparkSession.sparkContext.broadcast(Filter(needed))
+    found = fingerprinted(docs.select("doc_id", "text"), lambda fp, some: some & wanted.value(fp))
+    of = needed.select(F.col("fp").alias("_of"), F.col("doc_id").alias("_doc"))
+    texts = found.join(of, F.col("_fp") == F.col("_of")).where(F.col("doc_id").eqNullSafe(F.col("_doc")))
     return via_table(texts.select(F.col("_fp").alias("fp"), "text").dropDuplicates(["fp"]), "texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of each pair of fingerprints, from the window sets of their texts."""
+def verified(pairs: DataFrame, texts: DataFrame, weighted: bool = True) -> DataFrame:
+    """(a, b, similarity) of each pair of fingerprints, from the windows of their texts."""
     rows = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
 
     def sets(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = [(v, t + a) for a, _, v, t in _window_sets(batch, column)]
+        parts = [(v, t + a) for a, _, v, t in _window_sets(batch, column, weighted)]
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,50 +341,63 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return in_arrow(rows.select("a", "b", "text_a", "text_b"), run, "a binary, b binary, similarity double")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(documents, nodes): (doc_id, fp), and (fp, class, doc_id) where class is the least fp of the class."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(documents, nodes): (doc_id, fp), and (fp, class, doc_id, docs, links).
+
+    Class is the least fp of the class, doc_id the node's least one, docs the number of its documents, links the
+    number of its verified links.
+    """
     sig = via_table(signatures(docs, weighted, bands, rows), "signatures")
-    known = sig.where("fp is not null")
-    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    inside = nodes.select("fp", "n", F.explode("bands").alias("key"))
-    shared = cut(inside.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    member = cut(inside.join(shared, "key").select("key", "fp", "n", "members"))
-    company = cut(member.groupBy("fp").agg(F.sum("members").alias("company")))
-    hubs = cut(member.join(company, "fp").groupBy("key").agg(F.max(F.struct("company", F.col("fp").alias("hub"))).alias("h")).select("key", "h.hub"))
+    nodes = cut(sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("docs")))
+    plain = cut(members(sig))
+    sized = plain.join(plain.groupBy("key").agg(F.count("*").alias("size")), "key")
+    company = sized.groupBy("fp").agg(F.sum("size").alias("company"))
+    known = cut(company.join(nodes, "fp").select("fp", "company", "n", "doc_id"))
+    member = cut(plain.join(known, "fp").select("key", "fp", "n", "company"))
+    free(plain)
+    hubs = member.groupBy("key").agg(F.max(F.struct("company", F.col("fp").alias("hub"), F.col("n").alias("m"))).alias("h")).select("key", "h.hub", "h.m")
     fits = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")  # sizes that allow the similarity
-    size = nodes.select(F.col("fp").alias("b"), F.col("n").alias("m"))
-    pairs = member.join(hubs, "key").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"), "n").distinct()
-    pairs = cut(pairs.join(size, "b").where(fits).select("a", "b"))
-    texts = node_texts(docs, company.join(nodes.select("fp", "doc_id"), "fp"))
-    links = cut(verified(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b"))
+    pairs = cut(member.join(hubs, "key").where((F.col("fp") != F.col("hub")) & fits).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
+    texts = node_texts(docs, known.select("fp", "doc_id"))
+    links = cut(verified(pairs, texts, weighted).where(F.col("similarity") >= similarity).select("a", "b"))
     label = components(links)
-    known = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(prefix_pairs(_undecided(member, label), texts, similarity).join(known, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = verified(rest, texts).where(F.col("similarity") >= similarity).select("a", "b")
-        label = components(cut(links.union(more)))
-    joined = nodes.select("fp", "doc_id").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("class"), "doc_id")
-    return sig.select("doc_id", "fp"), cut(joined)
+    undecided = _undecided(member.select("key", "fp", "n"), label)
+    free(member, known)
+    if not undecided.isEmpty():
+        tried = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = cut(prefix_pairs(undecided, texts, similarity, weighted).join(tried, ["a", "b"], "left_anti"))
+        more = cut(verified(rest, texts, weighted).where(F.col("similarity") >= similarity).select("a", "b"))
+        if not more.isEmpty():
+            both = cut(links.union(more))
+            free(links)
+            links, label = both, components(both)
+        free(rest, more)
+    free(undecided, pairs, texts)
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
+    joined = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
+    joined = cut(joined.select("fp", F.coalesce("label", "fp").alias("class"), "doc_id", "docs", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    free(nodes, links)
+    return sig.select("doc_id", "fp"), joined
 
 
 def _undecided(member: DataFrame, label: DataFrame) -> DataFrame:
     """(fp, n, comp, minor) of the nodes in buckets with several components; minor: outside a bucket's largest one."""
     m = cut(member.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("comp")))
     per = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    split = cut(per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top")).where("parts > 1").select("key", F.col("top.comp").alias("largest")))
-    return cut(m.join(split, "key").groupBy("fp").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("largest")).alias("minor")))
+    split = per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top")).where("parts > 1").select("key", F.col("top.comp").alias("largest"))
+    out = cut(m.join(split, "key").groupBy("fp").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("largest")).alias("minor")))
+    free(m)
+    return out
 
 
-def _window_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _window_sets(batch: pa.RecordBatch, column: int, weighted: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text, windows, text of each) of a batch, some texts at a time."""
     data, offsets = T.utf8(batch.column(column))
     for a, b in T.steps(offsets):
-        _, _, element, owner = _nodes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        v, t, _ = T.distinct(element, owner)
-        yield a, b, v, t
+        yield a, b, *elements(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], weighted)
 
 
-def window_counts(texts: DataFrame) -> np.ndarray:
+def window_counts(texts: DataFrame, weighted: bool = True) -> np.ndarray:
     """How many texts hold a window, by ``COUNTERS`` hashed counters: a table of fixed size, whatever the input."""
     size = COUNTERS // COUNTER_SLICES
 
@@ -261,7 +408,7 @@ def window_counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, _, v, _ in _window_sets(batch, 0):
+            for _, _, v, _ in _window_sets(batch, 0, weighted):
                 table += np.bincount((v % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         yield from slices(table)
 
@@ -275,55 +422,91 @@ def window_counts(texts: DataFrame) -> np.ndarray:
     parts = in_arrow(in_arrow(texts.select("text"), count, "slice int, part binary").repartition("slice"), add, "slice int, part binary")
     out = np.zeros(COUNTERS, np.int64)
     for r in parts.collect():  # at most COUNTER_SLICES rows
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(bytes(r["part"]), np.int64)
+        out[r["slice"] * size : (r["slice"] + 1) * size] += np.frombuffer(bytes(r["part"]), np.int64)
     return out
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float, weighted: bool = True) -> DataFrame:
     """(a, b): all pairs of nodes (fp, n, comp, minor) that can be this similar, one of them minor, in different components.
 
-    An exact prefix and position filter. Windows are put in one global order, rarest first; two sets of this
-    similarity share a window among the first n - ceil(s n) + 1 of each, and from the place of a shared one on
-    both must have enough windows left. A set that changed in many places begins with windows that nobody
-    else has, so it meets nobody; only these prefixes, without the windows that occur once, are shuffled.
+    An exact prefix and position filter. Windows are put in one global order, rarest first. Two sets of
+    similarity s share at least s of the larger one's windows and 2s / (1 + s) of the smaller one's, so their
+    first common window is among the first n - ceil(s n) + 1 of the larger and the first n - ceil(2s n / (1 + s)) + 1
+    of the smaller, and from its place on both must have enough windows left. A set that changed in many
+    places begins with windows that nobody else has, so it meets nobody; only these prefixes, without the
+    windows that occur once, are shuffled. The rows of a window in very many texts go to several tasks: each
+    larger set to one of them, the smaller sets' rows to all.
     """
-    mine = texts.join(nodes, "fp").select("text", "fp", "comp", "minor")
-    counts = mine.sparkSession.sparkContext.broadcast(window_counts(mine))
+    mine = cut(texts.join(nodes, "fp").select("text", "fp", "comp", "minor"))
+    counts = mine.sparkSession.sparkContext.broadcast(window_counts(mine, weighted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["window", "fp", "comp", "minor", "n", "place", "salt", "larger", "smaller"]
+        hot = max(HOT, HOT_TIMES * float(counts.value.mean()))
         for batch in batches:
-            for a, b, v, t in _window_sets(batch, 0):
+            for a, b, v, t in _window_sets(batch, 0, weighted):
                 often = counts.value[(v % np.uint64(COUNTERS)).astype(np.int64)]
                 order = np.lexsort((v, often, t))
+                v, often = v[order], often[order]
                 n = np.bincount(t, minlength=b - a)
                 place = np.arange(len(t)) - (np.cumsum(n) - n)[t]
-                need = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-                keep = (place < need[t]) & (often[order] > 1)
-                at = pa.array(t[keep] + a)
-                yield pa.RecordBatch.from_arrays([pa.array(v[order][keep].view(np.int64)), *(batch.column(c).take(at) for c in (1, 2, 3)), pa.array(n[t[keep]]), pa.array(place[keep])], names=["window", "fp", "comp", "minor", "n", "place"])
-
-    rows = cut(in_arrow(mine, run, "window long, fp binary, comp binary, minor boolean, n long, place long"))
-    x, y = rows.where("minor").alias("x"), rows.alias("y")
-    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
+                longer = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                shorter = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
+                tasks = np.clip(np.ceil(often / hot), 1, MOST_DEALT).astype(np.int64)
+                probe = (place < longer[t]) & (often > 1)
+                index = probe & (place < shorter[t])
+                at = np.flatnonzero(probe)
+                own = np.array([x[0] | x[1] << 8 for x in batch.column(1).slice(a, b - a).to_pylist()], np.int64)
+                dealt = np.repeat(j := np.flatnonzero(index & (tasks > 1)), tasks[j])
+                turn = np.arange(len(dealt)) - np.repeat(np.cumsum(tasks[j]) - tasks[j], tasks[j])
+                rows, salt = np.concatenate([at, dealt]), np.concatenate([own[t[at]] % tasks[at], turn])
+                larger = np.concatenate([np.ones(len(at), bool), np.zeros(len(dealt), bool)])
+                smaller = np.concatenate([index[at] & (tasks[at] == 1), np.ones(len(dealt), bool)])
+                of = pa.array(t[rows] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(v[rows].view(np.int64)), *(batch.column(c).take(of) for c in (1, 2, 3)), pa.array(n[t[rows]]), pa.array(place[rows]), pa.array(salt.astype(np.int32)), pa.array(larger), pa.array(smaller)], names=names)
+
+    rows = cut(in_arrow(mine, run, "window long, fp binary, comp binary, minor boolean, n long, place long, salt int, larger boolean, smaller boolean"))
+    x, y = rows.where("larger").alias("x"), rows.where("smaller").alias("y")
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    meet = (F.col("x.window") == F.col("y.window")) & (F.col("x.comp") != F.col("y.comp")) & (most >= need) & (~F.col("y.minor") | (F.col("x.fp") < F.col("y.fp")))
-    return x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    order = (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.fp") > F.col("y.fp"))
+    meet = (F.col("x.window") == F.col("y.window")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.minor") | F.col("y.minor")) & order & (most >= need)
+    out = cut(x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
+    free(mine, rows)
+    return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """(doc_id, class_id, kept) for every row: kept marks a class's least doc_id."""
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """(doc_id, class_id, kept, links) for every row.
+
+    kept marks a class's least doc_id; links is the number of verified links of the document's words. Links
+    were verified until they join the class, not for all its pairs; copies of the same words need none.
+    """
     rows, nodes = classes(docs, similarity, weighted)
-    ids = cut(nodes.groupBy("class").agg(F.min("doc_id").alias("class_id")))
-    nodes = cut(nodes.join(ids, "class").select("fp", "class_id"))
-    out = rows.join(nodes, "fp", "left").select("doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    ids = nodes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    nodes = cut(nodes.join(ids, "class").select("fp", "class_id", "links"))
+    class_id = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    out = rows.join(nodes, "fp", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "links")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """The documents with one row of each class, that of the least doc_id; texts without words all stay."""
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """The documents with one row of each class, that of the least doc_id; texts without words all stay.
+
+    Rows whose words nobody else has (a filter of fixed size shows most of them) stay where they are; the
+    others meet the list of those that stay.
+    """
     _, nodes = classes(docs, similarity, weighted)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")).alias("k")
-    keep = cut(nodes.groupBy("class").agg(first).select(F.col("k.fp").alias("_fp"), F.col("k.doc_id").alias("_doc")))
-    marked = fingerprinted(without(docs, ["_of", "_doc"]))
-    kept = marked.join(keep.withColumnRenamed("_fp", "_of"), (F.col("_fp") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["_fp", "doc_id"])
-    return kept.select(*marked.columns[:-1]).union(marked.where("_fp is null").select(*marked.columns[:-1]))
+    each = cut(nodes.groupBy("class").agg(first, F.sum("docs").alias("docs")))
+    keep = each.select(F.col("k.fp").alias("_of"), F.col("k.doc_id").alias("_doc"))
+    company = nodes.join(each.where("docs > 1").select("class"), "class").select("fp")
+    several = docs.sparkSession.sparkContext.broadcast(Filter(cut(company)))
+    docs = without(docs, ["_of", "_doc"])
+    alone = fingerprinted(docs, lambda fp, some: ~(some & several.value(fp)))
+    others = fingerprinted(docs, lambda fp, some: some & several.value(fp))
+    kept = others.join(keep, (F.col("_fp") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_of", "_doc")
+    told = F.xxhash64(*[named(f.name) for f in kept.schema if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind])
+    kept = kept.groupBy("_fp").agg(F.min_by(F.struct(*[named(c) for c in kept.columns]), told).alias("row"))
+    back = kept.select(*[F.col("row")[c].alias(c) for c in alone.columns])
+    return alone.union(back).drop("_fp")

@@ -25,10 +25,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from sylvan.llm import learn, text as T
 from sylvan.llm.arrow import in_arrow
-from sylvan.llm.columns import without
+from sylvan.llm.columns import extended, without
 
 BUCKETS, DIM, NONZERO, REACH, SLICE = 1 << 15, 64, 4, 2, 128
 HIDDEN, EPOCHS, RATE, DECAY, BATCH = 32, 40, 3e-3, 1e-4, 256
@@ -229,8 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", most:
             scores = [network.probability(pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vectors).astype(np.float64)) for a, b in T.steps(offsets, STEP)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs, run, f"{fields}, score double")
+    return in_arrow(docs, run, extended(docs, score=DoubleType()))
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sylvan.llm.columns import without
+from sylvan.llm.columns import named, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -112,4 +112,4 @@ def quality_rules(docs: DataFrame, table: tuple[Rule, ...] = THRESHOLDS) -> Data
     docs = without(docs, names)
     m = F.col("_m")
     failed = (m["n_words"] < LEAST_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(MOST_REPEATED) * m["n_words"])
-    return docs.withColumn("_m", measures(F.col("text"))).select(*docs.columns, *[m[n].alias(n) for n in names[:7]], failed.alias("base_failed"), (~failed & verdict(m, table)).alias("kept"))
+    return docs.withColumn("_m", measures(F.col("text"))).select(*map(named, docs.columns), *[m[n].alias(n) for n in names[:7]], failed.alias("base_failed"), (~failed & verdict(m, table)).alias("kept"))

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from sylvan.llm import learn, text as T
 from sylvan.llm.arrow import in_arrow
-from sylvan.llm.columns import without
+from sylvan.llm.columns import extended, without
 from sylvan.session import cut
 
 #: Insults in the four languages of the corpus.
@@ -274,8 +275,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: in
             scores = [model.probability(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.learnt)) for a, b in T.steps(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs, run, f"{fields}, score double")
+    return in_arrow(docs, run, extended(docs, score=DoubleType()))
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
