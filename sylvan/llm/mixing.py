@@ -7,14 +7,16 @@ range-sorted by position. A source that is asked for more words than it has is r
 start, up to ``cap`` times.
 
 Scale. Words are counted where the text lies and only (key, source, size) take part in the prefix
-sums. A source's stream order is md5(doc_id), cut into ``4096`` equal hash ranges: totals per (source,
-range) are pre-aggregated, offsets of ranges are summed over those few rows, and only the rows of one
-range meet in a window. A source that holds a third of all rows is thus spread over 4096 groups.
+sums. A source's stream order is a hash of doc_id and text, cut into ``4096`` equal ranges: totals per
+(source, range) are pre-aggregated, offsets of ranges are summed over those few rows, and only the rows of
+one range meet in a window, which keeps one running sum. A source, or a doc_id (null too), that holds a
+third of all rows is thus spread over 4096 groups.
 
 Defined results. Null text: size 0. Null source: a source of its own, after all others. Null doc_id:
-ordered as the empty id. Repeated rows: each is a document of its own; ties in md5 go by doc_id, then
-size. A source without words has target 0 and takes nothing. Empty table: no rows. Columns of the
-input are carried along untouched; one with the name of a column made here gives way to it.
+ordered as the empty id. Very long texts: whole; only the one at the end of a stream is cut. Repeated rows:
+each is a document of its own; rows alike in doc_id and text are interchangeable. A source without words
+has target 0 and takes nothing. Empty table: no rows. Columns of the input, whatever their names, are
+carried along untouched; one with the name of a column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sylvan.llm.columns import without
+from sylvan.llm.columns import named, without
+from sylvan.operators.prefix import running
+from sylvan.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN = ("size", "source_size", "target", "taken", "positions", "position", "_ord", "_bucket", "_start", "_at", "_s", "_b", "_turn", "_spot")
@@ -64,20 +68,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     """(source, source_size, target, _turn) from (source, source_size).
 
     The targets are min(cap * size, level * weight) with the one level at which they sum to ``share``
-    of all words; that is where resharing the excess over the caps ends. One row per source.
+    of all words; that is where resharing the excess over the caps ends. One row per source. Ranks and sums
+    over sources are running totals over ranges, so there may be as many sources as documents.
     """
-    n, by = len(weights), W.orderBy("_fill", "_rank")
-    ranked = sizes.withColumn("_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    n = len(weights)
+    ranked = running(sizes.withColumn("_none", F.col("source").isNull()).withColumn("_one", F.lit(1).cast("long")), ["_none", "source"], {"_rank": "_one"})
     pick = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.withColumn("_turn", F.col("_rank") % n).withColumn("_w", F.element_at(pick, F.col("_turn") + 1)).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
-    ranked = ranked.withColumn("_fill", F.col("_cap") / F.col("_w"))
-    everything = W.orderBy("_fill", "_rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * F.lit(float(share))
-    full = F.coalesce(F.sum("_cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("_w").over(by.rowsBetween(0, W.unboundedFollowing))
-    ranked = ranked.withColumn("_level", (total - full) / left)
-    open_level = F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_rank", "_level"))).over(everything)
-    return ranked.withColumn("target", F.least("_cap", F.coalesce(open_level["_level"] * F.col("_w"), F.col("_cap")))).select("source", "source_size", "target", "_turn")
+    ranked = ranked.withColumn("_turn", (F.col("_rank") % n).cast("int")).withColumn("_w", F.element_at(pick, F.col("_turn") + 1)).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
+    ranked = running(ranked.withColumn("_fill", F.col("_cap") / F.col("_w")), ["_fill", "_rank"], {"_full": "_cap", "_before": "_w"})
+    all_of = ranked.agg(F.sum("source_size").alias("_words"), F.sum("_w").alias("_all_w"))
+    ranked = ranked.crossJoin(F.broadcast(all_of))  # one row
+    ranked = ranked.withColumn("_level", (F.col("_words") * F.lit(float(share)) - F.col("_full")) / (F.col("_all_w") - F.col("_before")))
+    level = ranked.where(F.col("_level") <= F.col("_fill")).agg(F.min(F.struct("_fill", "_rank", "_level"))["_level"].alias("_open"))
+    target = F.least("_cap", F.coalesce(F.col("_open") * F.col("_w"), F.col("_cap")))
+    return ranked.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"), "_turn")
 
 
 def plan_mix(
@@ -97,10 +101,10 @@ def plan_mix(
     docs = without(docs, _OWN)
     if len(schedules) != len(weights):
         raise ValueError("one schedule for each weight")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     base = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
     base = base.withColumn("_ord", key).withColumn("_bucket", (F.conv(F.substring("_ord", 1, 8), 16, 10).cast("double") / 2.0**32 * ranges).cast("int"))
-    per = base.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
+    per = cut(base.groupBy("source", "_bucket").agg(F.sum("size").alias("_n")))
     per = per.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
     targets = source_targets(per.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, cap)
     t = targets.alias("t")
@@ -121,7 +125,7 @@ def plan_mix(
     taken = part[0]
     for p in part[1:]:
         taken = taken + p
-    return rows.withColumn("taken", taken).withColumn("positions", F.array_compact(F.array(*spots))).select(*docs.columns, "size", "source_size", "target", "taken", "positions")
+    return rows.withColumn("taken", taken).withColumn("positions", F.array_compact(F.array(*spots))).select(*map(named, docs.columns), "size", "source_size", "target", "taken", "positions")
 
 
 def emit_mix(plan: DataFrame) -> DataFrame:
