@@ -5,15 +5,22 @@ open sequences with h tokens. A document of s tokens goes to the level h at whic
 afterwards is least (starting a sequence is level 0); this keeps levels spread out, so that a later
 document finds a sequence that it fills up. Documents longer than the capacity first give whole sequences.
 
+At most ``most_open`` sequences are open. When as many are and the document fits into none of them, it is cut: it
+fills up the sequence at the level for which the sum of squares, with its rest as a level of its own, is then
+least, and the rest is placed like a document. At the end of a partition no sequence is started any
+more: the documents of the emptiest one are taken out and placed among the others by the same rule, until one
+sequence is left; that goes to sequences of power-of-two length. So nothing is padded, every sequence comes
+from the level rule, and ``closing`` marks those that were filled up at the end.
+
 Each partition packs what it reads, in reading order, in one narrow pass: no shuffle, and a task that is
 run again gives the same sequences. With ``by_file`` the files read have an order, that of their part
 numbers: each split of a file is packed by itself and numbered by file and place, so sequence ids follow
-files and splits however Spark deals the splits out to partitions. A partition keeps ids only of sequences still open, at most
-``most_open``; beyond that, and at its end, the open ones are joined and cut anew at the capacity. The
-rest that is left at the end goes to sequences of power-of-two length, which need no padding.
+files and splits however Spark deals the splits out to partitions. A partition keeps ids only of open sequences.
 
-Defined results. Null text: empty, so its end id alone. Repeated rows: each is packed. Ties between levels:
-the fullest. Empty table: no rows. Columns of the input other than doc_id and text aren't read.
+Defined results. Null text: empty, so its end id alone. Null doc_id: packed, its pieces have a null doc_id. Very
+long texts: whole, in as many sequences as it takes. Repeated rows: each is packed. Ties between levels:
+the fullest. Empty table: no rows. Columns of the input other than doc_id and text, whatever their names,
+aren't read.
 """
 
 from __future__ import annotations
@@ -31,7 +38,9 @@ from pyspark.sql import DataFrame, functions as F
 from sylvan.llm import tokens
 from sylvan.llm.arrow import in_arrow
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closing boolean"
+#: Open sequences at most.
+MOST_OPEN = 64
 #: Sequence ids are the partition's number times this, plus a number within the partition.
 PER_PARTITION = 1 << 40
 #: By file: the file's number times PER_PARTITION, plus the split's number times this, plus a number within the split.
@@ -39,79 +48,92 @@ PER_SPLIT = 1 << 28
 
 
 class SumOfSquares:
-    """Packs items one by one; ``closed`` gets each finished sequence, a list of (tag, start, ids)."""
+    """Packs items one by one; ``closed`` gets each finished sequence, a list of (tag, start, ids), and whether it was filled up at the end."""
 
-    def __init__(self, capacity: int, most_open: int = 4096) -> None:
-        self.capacity, self.most_open = capacity, most_open
+    def __init__(self, capacity: int, most_open: int = MOST_OPEN) -> None:
+        self.capacity, self.most_open = capacity, max(1, most_open)
         self.level = np.zeros(capacity + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(capacity + 1)]
         self.n_open = 0
-        self.closed: list[list] = []
+        self.closing = False
+        self.closed: list[tuple[list, bool]] = []
 
-    def best_level(self, size: int) -> int:
-        """The fill, 0 for a new sequence, at which the sum of squared counts grows least."""
+    def best_level(self, size: int, may_start: bool = True) -> int | None:
+        """The fill, 0 for a new sequence, at which the sum of squared counts grows least; None if no place is left for all of it."""
         n, c = self.level, self.capacity
         fits = np.flatnonzero(n[1 : c - size + 1]) + 1
         new = 0 if size == c else 2 * n[size] + 1
-        if not len(fits):
-            return 0
-        to = np.where(fits + size < c, 2 * n[np.minimum(fits + size, c)] + 1, 0)
-        growth = to - 2 * n[fits] + 1
-        k = len(fits) - 1 - int(np.argmin(growth[::-1]))
-        return int(fits[k]) if growth[k] <= new else 0
+        if len(fits):
+            to = np.where(fits + size < c, 2 * n[np.minimum(fits + size, c)] + 1, 0)
+            growth = to - 2 * n[fits] + 1
+            k = len(fits) - 1 - int(np.argmin(growth[::-1]))
+            if not may_start or growth[k] <= new:
+                return int(fits[k])
+        return 0 if may_start else None
+
+    def best_cut(self, size: int) -> int:
+        """The fill of a sequence to fill up with the beginning of an item that fits nowhere whole."""
+        n, c = self.level, self.capacity
+        over = np.flatnonzero(n[c - size + 1 :]) + c - size + 1
+        growth = 2 * n[over + size - c] - 2 * n[over]
+        return int(over[len(over) - 1 - int(np.argmin(growth[::-1]))])
+
+    def _take(self, fill: int) -> list:
+        self.level[fill] -= 1
+        self.n_open -= 1
+        return self.open[fill].pop()
 
     def _file(self, window: list, fill: int) -> None:
         if fill == self.capacity:
-            self.closed.append(window)
+            self.closed.append((window, self.closing))
         else:
             self.level[fill] += 1
             self.open[fill].append(window)
             self.n_open += 1
 
+    def _place(self, tag: object, start: int, ids: np.ndarray) -> None:
+        """An item of at most the capacity."""
+        while True:
+            h = self.best_level(len(ids), self.n_open < (1 if self.closing else self.most_open))
+            if h is not None:
+                window = self._take(h) if h else []
+                window.append((tag, start, ids))
+                return self._file(window, h + len(ids))
+            h = self.best_cut(len(ids))
+            room = self.capacity - h
+            window = self._take(h)
+            window.append((tag, start, ids[:room]))
+            self._file(window, self.capacity)
+            start, ids = start + room, ids[room:]
+
     def add(self, tag: object, ids: np.ndarray) -> None:
         c = self.capacity
         whole = len(ids) // c * c
         for a in range(0, whole, c):
-            self.closed.append([(tag, a, ids[a : a + c])])
+            self.closed.append(([(tag, a, ids[a : a + c])], False))
         if whole < len(ids):
-            item = (tag, whole, ids[whole:])
-            h = self.best_level(len(ids) - whole)
-            window: list = []
-            if h:
-                window = self.open[h].pop()
-                self.level[h] -= 1
-                self.n_open -= 1
-            window.append(item)
-            self._file(window, h + len(ids) - whole)
-            if self.n_open > self.most_open:
-                self._join(last=False)
-
-    def _join(self, last: bool) -> None:
-        """Join all open sequences and cut them anew; the rest stays open, or goes to powers of two."""
-        pieces = [p for h in range(self.capacity, 0, -1) for w in self.open[h] for p in w]
-        self.level[:] = 0
-        self.open, self.n_open = [[] for _ in range(self.capacity + 1)], 0
-        left = sum(len(p[2]) for p in pieces)
-        window, room = [], self.capacity
-        if last and left < room:
-            room = 1 << (left.bit_length() - 1) if left else 0
-        fill = 0
-        for tag, start, ids in pieces:
-            at = 0
-            while at < len(ids):
-                take = min(room - fill, len(ids) - at)
-                window.append((tag, start + at, ids[at : at + take]))
-                at, fill, left = at + take, fill + take, left - take
-                if fill == room:
-                    self.closed.append(window)
-                    window, fill = [], 0
-                    if last and left and left < room:
-                        room = 1 << (left.bit_length() - 1)
-        if window:
-            self._file(window, fill)
+            self._place(tag, whole, ids[whole:])
 
     def finish(self) -> None:
-        self._join(last=True)
+        """Place the documents of the emptiest sequences among the others, and the last one's in powers of two."""
+        self.closing = True
+        while self.n_open > 1:
+            for tag, start, ids in self._take(int(np.flatnonzero(self.level)[0])):
+                self._place(tag, start, ids)
+        if self.n_open:
+            fill = int(np.flatnonzero(self.level)[0])
+            pieces, left = self._take(fill), fill
+            while left:
+                room, window = 1 << (left.bit_length() - 1), []
+                left -= room
+                while room:
+                    tag, start, ids = pieces.pop(0)
+                    window.append((tag, start, ids[:room]))
+                    if len(ids) > room:
+                        pieces.insert(0, (tag, start + room, ids[room:]))
+                    room -= min(room, len(ids))
+                self.closed.append((window, True))
+        self.closing = False
 
 
 def file_numbers(files: Iterable[str]) -> dict[str, int]:
@@ -134,8 +156,8 @@ def split_start(numbers: dict[str, int], path: str, start: int, length: int, siz
     return file * PER_PARTITION + k * PER_SPLIT
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, most_open: int = 4096, with_ids: bool = False, by_file: bool = False) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ids if asked for.
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, most_open: int = MOST_OPEN, with_ids: bool = False, by_file: bool = False) -> DataFrame:
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, closing), and its ids if asked for.
 
     ``by_file`` needs a table as it is read from files, without a shuffle in between.
     """
@@ -162,24 +184,24 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         number = TaskContext.get().partitionId() * PER_PARTITION
         split, seen = None, set()
         end = np.array([end_id], np.int32)
-        schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+        schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]).append(pa.field("closing", pa.bool_()))
         if with_ids:
             schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
 
         def rows() -> pa.RecordBatch:
             nonlocal number
             out, pieces = [], []
-            for window in packer.closed:
+            for window, closing in packer.closed:
                 offset = 0
                 for (doc, n), start, ids in window:
-                    out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, offset))
+                    out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, offset, closing))
                     pieces.append(ids)
                     offset += len(ids)
                 number += 1
             if split and number - split_start(numbers, *split[:-1]) > PER_SPLIT:
                 raise ValueError(f"too many sequences in one split of {split[0]}")
             packer.closed = []
-            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)]
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 8, schema)]
             if with_ids:
                 ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces) if pieces else np.empty(0, np.int32))))
