@@ -6,9 +6,10 @@ each rule's expansion length, the rewritten sequence and a table of its document
 documents, so a document, or a range of its tokens found through the expansion lengths, is decoded by
 itself.
 
-One round counts all pairs of the shard by a sort, takes the most frequent ones (at most ``WIDTH``) and
-replaces their occurrences left to right, without overlaps; a pair that this leaves with fewer than
-``LEAST`` occurrences isn't used. Rounds end when nothing more is gained, or after ``ROUNDS``.
+All pairs of the shard are counted by a sort, and the counts of frequent ones kept up to date from then on. One
+step takes the most frequent pair and those at least a ``SHARE``-th as frequent, and replaces their occurrences without overlaps, where two meet the more frequent
+pair; a pair that the others leave with fewer than ``LEAST`` occurrences waits for a later step. Steps end when no pair can be
+replaced ``LEAST`` times, so a passage that is repeated often becomes one symbol however long it is.
 
 File format, little-endian: magic, then counts as u64 (first symbol, rules, documents, symbols), then
 rules (two u32 each), expansion lengths (u32), doc_ids (i64), null flags (u8), tokens and symbols of each
@@ -16,7 +17,9 @@ document (u64 each), symbols (low 16 bits of each, then high 8 bits of each). A
 Parquet table, so that any store that Spark writes to can hold it and a lost task's output is never read.
 
 Defined results. Null text: empty, the end id alone. Null doc_id: comes first. Repeated rows: each is
-written. Empty table: no shards. Columns other than doc_id and text aren't read.
+written, in order of text, so that a doc_id (null too) of very many rows is spread over ranges. Very long texts:
+whole, in a shard of their own size. Empty table: no shards. Columns other than doc_id and text, whatever their
+names, aren't read.
 """
 
 from __future__ import annotations
@@ -36,7 +39,11 @@ from sylvan.llm.arrow import in_arrow
 from sylvan.session import table_path
 
 MAGIC = b"RPGRAM01"
-ROUNDS, WIDTH, LEAST = 3, 32000, 8
+SHARE, LEAST = 4, 8
+#: Passes over the places of a step in which more frequent pairs go first.
+PASSES = 24
+#: Symbols that the file format can tell apart.
+MOST_SYMBOLS = 1 << 24
 #: Cells of a table over left and right symbols, beyond which pairs are found by binary search.
 TABLE = 1 << 23
 #: Tokens after which a shard is closed; a document is never split.
@@ -107,6 +114,30 @@ def _apart(at: np.ndarray) -> np.ndarray:
     return ((place - np.maximum.accumulate(start)) & 1) == 0
 
 
+def _alone(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The numbers of the places that each pair would take if there were no others: every second one of its own runs."""
+    start = np.ones(len(at), bool)
+    start[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1])
+    place = np.arange(len(at))
+    return np.flatnonzero((place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0)
+
+
+def _matched(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places are taken without overlaps when, where two meet, the pair of lower rank goes first."""
+    taken, left = np.zeros(len(at), bool), np.arange(len(at))
+    for _ in range(PASSES):
+        if not len(left):
+            return taken
+        a, r = at[left], rank[left]
+        near = a[1:] == a[:-1] + 1
+        after, before = np.append(near, False), np.append(False, near)
+        best = ~(before & (np.append(0, r[:-1]) < r)) & ~(after & (np.append(r[1:], 0) < r))
+        taken[left[best]] = True
+        left = left[~(best | after & np.append(best[1:], False) | before & np.append(False, best[:-1]))]
+    taken[left[_apart(at[left])]] = True  # what is still undecided in a long chain of ever rarer pairs
+    return taken
+
+
 def _occurrences(seq: np.ndarray, last: np.ndarray, chosen: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a chosen pair begins, and which one; chosen is sorted."""
     a, b = chosen >> 32, chosen & 0xFFFFFFFF
@@ -128,51 +159,72 @@ def _occurrences(seq: np.ndarray, last: np.ndarray, chosen: np.ndarray, top: int
     return at[hit], rule[hit]
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, rounds: int = ROUNDS, width: int = WIDTH, least: int = LEAST) -> Shard:
+def _counts(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times, sorted, and how often."""
+    keys.sort()
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    count = np.diff(np.append(edge, len(keys)))
+    return keys[edge[count >= least]], count[count >= least]
+
+
+def _keys(seq: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pairs that begin at these places, without those over the end of a document."""
+    at = at[~last[at]]
+    return (seq[at].astype(np.int64) << 32) | seq[at + 1]
+
+
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, least: int = LEAST, share: int = SHARE) -> Shard:
     """The grammar of one shard. ``ids`` are all documents' ids, ``doc_tokens`` how many each has."""
     base = int(ids.max()) + 1 if len(ids) else 1
     seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_tokens)[doc_tokens > 0] - 1] = True
     rules, lengths, top = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        ordered = seq.astype(np.int64)
-        ordered = ((ordered[:-1] << 32) | ordered[1:])[~last[:-1]]
-        ordered.sort()
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-        pair, count = ordered[edge], np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        if len(often) > width:
-            often = often[np.argsort(-count[often], kind="stable")[:width]]
-        chosen = np.sort(pair[often])
+    least = max(2, least)
+    pair, count = _counts(_keys(seq, last, np.arange(len(seq))), least)
+    while len(pair) and top < MOST_SYMBOLS:
+        often = np.flatnonzero(count >= count.max() / share)
+        often = np.sort(often[np.argsort(-count[often], kind="stable")[: MOST_SYMBOLS - top]])
+        chosen = pair[often]
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(-count[often], kind="stable")] = np.arange(len(often))
         at, rule = _occurrences(seq, last, chosen, top)
-        taken = _apart(at)
-        rare = np.bincount(rule[taken], minlength=len(chosen)) < least
-        if rare.any():
-            common = ~rare[rule]
-            at, rule = at[common], rule[common]
-            taken = _apart(at)
+        some = _alone(at, rule)
+        at, rule = at[some], rule[some]
+        few = np.bincount(rule, minlength=len(chosen)) < least
+        if few.any():  # pairs that overlap themselves, as in a run of one symbol
+            count[often[few]] = 0
+            at, rule = at[~few[rule]], rule[~few[rule]]
+        taken = _matched(at, rank[rule])
         at, rule = at[taken], rule[taken]
-        used = np.bincount(rule, minlength=len(chosen)) > 0
-        names, new = np.flatnonzero(used), (np.cumsum(used) - 1)[rule]
-        if not len(names):
-            break
-        both = np.stack([chosen[names] >> 32, chosen[names] & 0xFFFFFFFF], axis=1)
-        known = np.concatenate([np.ones(base, np.int64), *lengths])
-        seq[at] = top + new
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(both)
-        lengths.append(known[both].sum(axis=1))
-        top += len(names)
-        if len(at) < len(seq) // 200:
-            break
+        enough = np.bincount(rule, minlength=len(chosen)) >= least
+        at, rule = at[enough[rule]], rule[enough[rule]]
+        names, new = np.flatnonzero(enough), (np.cumsum(enough) - 1)[rule]
+        if len(names):
+            both = np.stack([chosen[names] >> 32, chosen[names] & 0xFFFFFFFF], axis=1)
+            known = np.concatenate([np.ones(base, np.int64), *lengths])
+            gone = np.zeros(len(seq) + 1, bool)
+            gone[at] = gone[at + 1] = gone[at - 1] = True  # place -1 is the one too many at the end
+            lost, times = _counts(_keys(seq, last, np.flatnonzero(gone[:-1])), 1)
+            place = np.minimum(np.searchsorted(pair, lost), len(pair) - 1)
+            there = pair[place] == lost
+            count[place[there]] = np.maximum(count[place[there]] - times[there], 0)
+            seq[at] = top + new
+            last[at] = last[at + 1]
+            keep = np.ones(len(seq), bool)
+            keep[at + 1] = False
+            seq, last = seq[keep], last[keep]
+            made = np.zeros(len(seq) + 1, bool)
+            fresh = np.flatnonzero(seq >= top)
+            made[fresh] = made[fresh - 1] = True
+            more, often_made = _counts(_keys(seq, last, np.flatnonzero(made[:-1])), least)
+            pair, count = np.concatenate([pair, more]), np.concatenate([count, often_made])
+            order = np.argsort(pair, kind="stable")
+            pair, count = pair[order], count[order]
+            rules.append(both)
+            lengths.append(known[both].sum(axis=1))
+            top += len(names)
+        pair, count = pair[count >= least], count[count >= least]
     ends = np.flatnonzero(last)
     symbols = np.zeros(len(doc_tokens), np.int64)
     symbols[doc_tokens > 0] = np.diff(np.concatenate([[-1], ends]))
@@ -180,7 +232,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, rounds: int
 
 
 def dump(s: Shard) -> bytes:
-    if s.base + len(s.rules) > 1 << 24:
+    if s.base + len(s.rules) > MOST_SYMBOLS:
         raise ValueError("a shard has too many symbols for 24 bits")
     known = np.array([0 if d is None else d for d in s.doc_ids], "<i8")
     null = np.array([d is None for d in s.doc_ids], np.uint8)
@@ -236,7 +288,9 @@ def encode_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
         if held:
             yield close()
 
-    return in_arrow(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, SHARDS)
+    rows = docs.select("doc_id", "text")
+    # the text's beginning only says which range a row goes to; ties within it are sorted by the whole text
+    return in_arrow(rows.repartitionByRange("doc_id", F.substring("text", 1, 40)).sortWithinPartitions("doc_id", "text"), run, SHARDS)
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
@@ -250,7 +304,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 def decode_documents(shards: DataFrame) -> DataFrame:
     """Per document, from the shards: doc_id, its place, its number of ids and their checksum.
 
-    The ids of all documents before a shard are summed in two steps, within a part and over the parts.
+    The ids of all documents before a shard are summed in two steps, within a part and over the parts, of
+    which there are as many as tasks wrote.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
