@@ -95,7 +95,7 @@ def test_encoder_starts_its_memory_anew(monkeypatch):
 def test_grammar_round_trip(docs, least):
     ids = np.array([x for d in docs for x in d], np.int32)
     n = np.array([len(d) for d in docs], np.int64)
-    s = repair.load(repair.dump(repair.compress(ids, n, list(range(len(docs))), rounds=5, width=3, least=least)))
+    s = repair.load(repair.dump(repair.compress(ids, n, list(range(len(docs))), least=least)))
     assert s.expand(s.sequence).tolist() == ids.tolist()
     for k, d in enumerate(docs):
         assert s.document(k).tolist() == d
@@ -109,6 +109,21 @@ def test_grammar_finds_repetition_and_stays_within_documents():
     assert len(s.sequence) < len(ids) / 3 and s.symbols.sum() == len(s.sequence) and (s.lengths >= 2).all()
 
 
+def test_grammar_replaces_until_no_pair_is_frequent():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(100, 5000, 600)
+    docs = [np.concatenate([rng.integers(0, 90, 50), passage, rng.integers(0, 90, 30)]).astype(np.int32) for _ in range(40)] + [np.full(333, 7, np.int32)]
+    s = repair.compress(np.concatenate(docs), np.array(list(map(len, docs))), list(range(len(docs))))
+    assert s.lengths.max() >= 300 and [x.tolist() for x in map(s.document, range(41))] == [d.tolist() for d in docs]
+    edges = np.cumsum(s.symbols)
+    left = [(a, b) for k, (a, b) in enumerate(zip(s.sequence[:-1].tolist(), s.sequence[1:].tolist())) if k + 1 not in set(edges.tolist())]
+    once = {}
+    for k, p in enumerate(left):  # occurrences without overlaps
+        if p[0] != p[1] or once.get(p, (0, -9))[1] != k - 1:
+            once[p] = (once.get(p, (0, 0))[0] + 1, k)
+    assert max(n for n, _ in once.values()) < repair.LEAST
+
+
 def brute_level(levels, size, capacity):
     best = None
     for h in range(capacity - size, -1, -1):
@@ -141,7 +156,7 @@ def test_packing_takes_the_least_sum_of_squares():
         assert int((n[1:64] ** 2).sum()) == cost, before
         p.add(k, np.arange(size, dtype=np.int32))
     p.finish()
-    fills = [sum(len(x[2]) for x in w) for w in p.closed]
+    fills = [sum(len(x[2]) for x in w) for w, _ in p.closed]
     assert all(f == 64 or f & (f - 1) == 0 for f in fills) and sum(f < 64 for f in fills) <= 6
 
 
@@ -149,15 +164,44 @@ def test_packing_holds_few_sequences_open():
     p = packing.SumOfSquares(100, most_open=10)
     for k in range(500):
         p.add(k, np.full(60, k, np.int32))
-        assert p.n_open <= 11
+        assert p.n_open <= 10
     p.finish()
     seen = {}
-    for w in p.closed:
+    for w, _ in p.closed:
         for tag, start, ids in w:
             seen.setdefault(tag, []).append((start, ids))
     assert all(sum(len(i) for _, i in sorted(v, key=lambda x: x[0])) == 60 for v in seen.values()) and len(seen) == 500
 
 
+def test_packing_cuts_where_the_sum_of_squares_is_least():
+    rng = np.random.default_rng(8)
+    p = packing.SumOfSquares(64, most_open=6)
+    for k in range(800):
+        size = int(rng.integers(1, 64))
+        if p.best_level(size, p.n_open < 6) is None:
+            costs = {}
+            for h in np.flatnonzero(p.level):
+                n = p.level.copy()
+                n[h] -= 1
+                n[h + size - 64] += 1
+                costs[int(h)] = int((n[1:64] ** 2).sum())
+            assert costs[p.best_cut(size)] == min(costs.values()) and all(h + size > 64 for h in costs)
+        p.add(k, np.full(size, k, np.int32))
+
+
+def test_nearly_all_sequences_are_filled_while_documents_come():
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(rng.lognormal(6.5, 0.9, 8000).astype(int) + 1, 20_000)
+    p = packing.SumOfSquares(2048)
+    for k, n in enumerate(sizes):
+        p.add(k, np.zeros(n, np.int32))
+    online = len(p.closed)
+    p.finish()
+    fills = [sum(len(x[2]) for x in w) for w, _ in p.closed]
+    assert sum(fills) == sizes.sum() and all(f == 2048 or f & (f - 1) == 0 for f in fills) and sum(f < 2048 for f in fills) <= 11
+    assert online > 0.95 * len(p.closed) and [c for _, c in p.closed] == [False] * online + [True] * (len(p.closed) - online)
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for n in range(9):
