@@ -326,3 +326,49 @@ def unrooted(tree: Tree) -> Tree:
         out.move(c, 0)
     out.children[0].remove(gone)
     return _compact(out)
+
+
+def bifurcated(tree: Tree) -> Tree:
+    """Every node of more than two children resolved by new nodes of no length, so the base has two."""
+    out = tree.copy()
+    for k in list(out.preorder()):
+        while len(out.children[k]) > 2:
+            new = out.add(k, 0.0)
+            for c in out.children[k][:2]:
+                out.move(c, new)
+    return out
+
+
+def reversibly_unrooted(tree: Tree) -> tuple[Tree, frozenset[str], float, float]:
+    """The unrooted tree, the leaves on one side of its root, and the lengths of the two root edges, for ``rerooted``."""
+    if not tree.rooted:
+        raise TreeError("the tree has no root of two children")
+    a, b = tree.children[0]
+    return unrooted(tree), tree.below()[a], tree.length[a] or 0.0, tree.length[b] or 0.0
+
+
+def rerooted(tree: Tree, side: frozenset[str], length: float, other: float) -> Tree:
+    """The tree with a root on the edge that parts ``side`` from the other leaves; the edge's two lengths are given."""
+    below = tree.below()
+    every = below[0]
+    found = [k for k in tree.preorder() if k and below[k] in (side, every - side)]
+    if not found:
+        raise TreeError("no edge parts these leaves from the others")
+    k = found[0]
+    near, far = (length, other) if below[k] == side else (other, length)
+    out = Tree()
+    root = out.add(-1)
+
+    def grow(node: int, came: int, to: int, edge: float | None) -> None:
+        """Copy what is seen from node when one comes from a neighbour; without recursion, for deep trees."""
+        stack = [(node, came, to, edge)]
+        while stack:
+            at, back, parent, size = stack.pop()
+            new = out.add(parent, size, tree.label[at])
+            out.support[new] = tree.support[at]
+            around = [(c, tree.length[c]) for c in tree.children[at]] + ([(tree.parent[at], tree.length[at])] if at else [])
+            stack += [(n, at, new, v) for n, v in reversed(around) if n != back]
+
+    grow(k, tree.parent[k], root, near)
+    grow(tree.parent[k], k, root, far)
+    return out.suppressed()

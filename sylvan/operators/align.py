@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sylvan.functions.scalars import is_dna
+from sylvan.operators.prefix import running
 
 
 def sites(seqs: DataFrame) -> DataFrame:
@@ -35,7 +36,10 @@ def alphabets(seqs: DataFrame) -> DataFrame:
 
 
 def concatenated(seqs: DataFrame, pad: str = "?") -> DataFrame:
-    """(taxon, seq, n_loci): loci joined in order for every taxon, padded where a taxon is missing."""
+    """(taxon, seq, n_loci): loci joined in order for every taxon, padded where a taxon is missing.
+
+    The grid of taxa and loci is what the result spells out: a row's text holds a part for each locus.
+    """
     lengths = seqs.groupBy("locus").agg(F.max(F.length("seq")).alias("n"))
     grid = seqs.select("taxon").distinct().crossJoin(lengths)
     rows = grid.join(seqs.select("taxon", "locus", "seq"), ["taxon", "locus"], "left")
@@ -46,9 +50,11 @@ def concatenated(seqs: DataFrame, pad: str = "?") -> DataFrame:
 
 def running_offsets(lengths: DataFrame, group: str | None = None) -> DataFrame:
     """(…, start, stop), 1-based, of loci (locus, n) laid end to end in order, within each group if named."""
-    order = W.orderBy("locus") if group is None else W.partitionBy(group).orderBy("locus")
-    stop = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return lengths.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n") + 1)
+    if group is None:
+        placed = running(lengths, ["locus"], {"stop": "n"}, inclusive=True)
+    else:
+        placed = lengths.withColumn("stop", F.sum("n").over(W.partitionBy(group).orderBy("locus").rowsBetween(W.unboundedPreceding, 0)))
+    return placed.withColumn("start", F.col("stop") - F.col("n") + 1)
 
 
 def partition_lines(offsets: DataFrame, model: Column, sep_codon_pos: bool = False, ml_freqs: bool = False, emp_freqs: bool = False) -> DataFrame:

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from sylvan.session import cut
 
-BLOCK = 256
+#: Points of a block; blocks of a group, and groups at least, if there are as many blocks.
+BLOCK, GROUP, LEAST_GROUPS = 256, 4, 32
 
 
 def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, d) for every pair of (id, x), from blocks of points.
 
-    Points are packed into blocks; every pair of blocks meets in one cell of an equi-join on block numbers
-    dealt to a grid, so no task holds more than two blocks at a time and the pairs are spread evenly.
+    Points are packed into blocks and blocks dealt to groups, of which there are more as the table grows.
+    Every pair of groups, the first not after the second, is one key of an equi-join, so each pair of blocks
+    meets once, no task holds more than two blocks at a time, and a group has about ``GROUP`` blocks.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +38,11 @@ def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
             for b, c, ids, x, other, y in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 p, q = np.frombuffer(ids, np.int64), np.frombuffer(other, np.int64)
                 u, v = np.frombuffer(x).reshape(len(p), -1), np.frombuffer(y).reshape(len(q), -1)
-                d = np.sqrt(((u[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+                d = np.zeros((len(p), len(q)))
+                for k in range(u.shape[1]):  # dimension by dimension, so that what is worked on stays in the cache
+                    one = u[:, k, None] - v[None, :, k]
+                    d += one * one
+                d = np.sqrt(d)
                 keep = np.triu(np.ones(d.shape, bool), 1) if b == c else np.ones(d.shape, bool)
                 r, s = np.nonzero(keep)
                 i, j = p[r], q[s]
@@ -44,14 +50,31 @@ def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
 
     # written, since both sides of the self-join must see the same block numbers, which come from task numbers
     blocks = cut(points.select("id", "x").where("id is not null and x is not null").mapInArrow(pack, "b long, ids binary, x binary"))
-    cells = 16
-    deal = F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int")
-    left = blocks.withColumn("r", deal).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    right = blocks.withColumn("c", deal).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("r", "c", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"))
-    met = left.join(right, ["r", "c"]).where("b <= b2").select("b", "b2", "ids", "x", "ids2", "x2")
+    n = blocks.count()
+    groups = max(min(n, LEAST_GROUPS), -(-n // GROUP), 1)
+    own = blocks.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int"))
+    left = own.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(groups - 1))))
+    right = own.withColumn("h", F.col("g")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("h")))).select("g", "h", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"))
+    met = left.join(right, ["g", "h"]).where("g < h or b <= b2").select("b", "b2", "ids", "x", "ids2", "x2")
     return met.mapInArrow(meet, "i long, j long, d double")
 
 
+def every_pair(rows: DataFrame, key: str, group: int = 64) -> DataFrame:
+    """(a, b), structs of every two rows with a's key less than b's.
+
+    Rows are dealt to groups by a hash of the key, of about ``group`` rows each; every pair of groups is one key
+    of an equi-join, so the work is spread evenly and no plan compares all rows with all. A key that occurs
+    twice isn't paired with itself.
+    """
+    groups = max(1, -(-rows.count() // group))
+    own = rows.where(F.col(key).isNotNull()).select(F.struct("*").alias("x"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
+    left = own.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(groups - 1))))
+    right = own.select(F.col("x").alias("y"), F.col("g").alias("h"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("g"))
+    first = F.col(f"x.{key}") < F.col(f"y.{key}")
+    met = left.join(right, ["g", "h"]).where((F.col("g") < F.col("h")) | first)
+    return met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
 def symmetrised(dm: DataFrame) -> DataFrame:
     """Both (i, j) and (j, i), in one pass over the pairs."""
     back = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d")

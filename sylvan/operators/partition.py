@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from sylvan.operators.prefix import running
 
 
 def canonical(labels: DataFrame) -> DataFrame:
     """(elem, grp): groups numbered from 0 by their first element (restricted growth notation).
 
-    The dense rank runs over one row a group, pre-aggregated, not over the elements.
+    The dense rank is a running count over ranges of one row a group, pre-aggregated, not over the elements.
     """
-    first = labels.groupBy("label").agg(F.min("elem").alias("first"))
-    rank = first.select("label", (F.row_number().over(W.orderBy("first")) - 1).alias("grp"))
+    first = labels.groupBy("label").agg(F.min("elem").alias("first"), F.lit(1).alias("one"))
+    rank = running(first, ["first"], {"grp": "one"}).select("label", F.col("grp").cast("int").alias("grp"))
     return labels.join(rank, labels["label"].eqNullSafe(rank["label"])).select("elem", "grp")
 
 
@@ -96,6 +98,22 @@ def random_partition(size: int, groups: int, seed: int, alpha: float = 1.0, fill
     return growth(labels.tolist())
 
 
+def random_labels(elements: DataFrame, groups: int, seed: int, alpha: float = 1.0, fill: bool = False) -> DataFrame:
+    """(elem, grp), canonical: each of the elements (elem) drawn by a hash from Dirichlet proportions.
+
+    With ``fill`` the ``groups`` elements of the least hashes get a group each, so none is empty.
+    """
+    bounds = np.cumsum(np.random.default_rng(seed).dirichlet([alpha] * groups))
+    spot = F.pmod(F.xxhash64(F.lit(seed), "elem"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    label = F.least(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= spot)), F.lit(groups - 1))
+    rows = elements.select("elem", label.alias("label"))
+    if fill:
+        first = [r[0] for r in elements.select("elem").orderBy(F.xxhash64(F.lit(seed + 1), "elem"), "elem").limit(groups).collect()]  # one for each group
+        own = elements.sparkSession.createDataFrame(list(enumerate(first)), T.StructType([T.StructField("own", T.IntegerType()), T.StructField("elem", elements.schema["elem"].dataType)]))
+        rows = rows.join(F.broadcast(own), "elem", "left").select("elem", F.coalesce("own", "label").alias("label"))
+    return canonical(rows)
+
+
 def growth(labels: list) -> list[int]:
     """Restricted growth notation of a short list of labels."""
     seen: dict = {}

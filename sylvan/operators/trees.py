@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sylvan.functions import geodesic as G, newick
+from sylvan.operators.pairs import every_pair
 from sylvan.session import cut
 
 NODES = "tree_id long, node_id int, parent_id int, label string, length double, support double, is_leaf boolean, preorder int, depth int"
@@ -77,8 +78,8 @@ def pair_distances(split_table: DataFrame, leaves: int | Column = 0) -> DataFram
         F.sum(F.abs(x - y) - x - y).alias("abs"),
         F.sum((x - y) * (x - y) - x * x - y * y).alias("cross"),
     )
-    t, u = totals.select(*[F.col(c).alias(f"{c}_a") for c in totals.columns]), totals.select(*[F.col(c).alias(f"{c}_b") for c in totals.columns])
-    pairs = t.join(u, F.col("tree_id_a") < F.col("tree_id_b")).join(both, (F.col("tree_id_a") == F.col("i")) & (F.col("tree_id_b") == F.col("j")), "left")
+    pairs = every_pair(totals, "tree_id").select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in totals.columns])
+    pairs = pairs.join(both, (F.col("tree_id_a") == F.col("i")) & (F.col("tree_id_b") == F.col("j")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     rf = (F.col("inner_a") + F.col("inner_b") - 2 * zero(F.col("common"))).cast("double")
     wrf = F.col("sum_a") + F.col("sum_b") + zero(F.col("abs"))
@@ -99,7 +100,8 @@ def tree_distances(trees: DataFrame, metric: str = "geo", normalise: bool = Fals
     """(i, j, d) for every pair of (tree_id, newick), on the leaves two trees share.
 
     Pairs with fewer than ``min_overlap`` shared leaves get ``fail_value``. Trees are parsed to arrays of
-    splits once; a pair joins two such rows.
+    splits once. If all trees have the same leaves, all metrics but the geodesic are joins of shared splits;
+    otherwise, and for the geodesic, pairs of trees meet group by group and each pair is worked out by itself.
     """
     if metric not in METRICS:
         raise ValueError(f"{metric} is none of {sorted(METRICS)}")
@@ -116,6 +118,12 @@ def tree_distances(trees: DataFrame, metric: str = "geo", normalise: bool = Fals
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["tree_id", "leaves", "sides", "lengths"])
 
     rows = cut(trees.select("tree_id", "newick").mapInArrow(parse, "tree_id long, leaves array<string>, sides array<array<string>>, lengths array<double>"))
+    kinds = rows.select("leaves").distinct().limit(2).collect() if metric != "geo" else []
+    if len(kinds) == 1 and len(set(kinds[0][0])) >= min_overlap:
+        n = len(kinds[0][0])
+        table = rows.select("tree_id", F.explode(F.arrays_zip(F.col("sides").alias("clade"), F.col("lengths").alias("length"))).alias("s")).select("tree_id", "s.clade", "s.length")
+        found = pair_distances(table.withColumn("is_leaf", F.size("clade").isin(1, n - 1)))
+        return found.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col(f"{metric}_norm" if normalise else metric).alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +134,9 @@ def tree_distances(trees: DataFrame, metric: str = "geo", normalise: bool = Fals
                 out.append(fail_value if on is None else measure(on[0], on[1], on[2], normalise))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["i", "j", "d"])
 
-    a = rows.select(F.col("tree_id").alias("i"), F.col("leaves").alias("la"), F.col("sides").alias("sa"), F.col("lengths").alias("va"))
-    b = rows.select(F.col("tree_id").alias("j"), F.col("leaves").alias("lb"), F.col("sides").alias("sb"), F.col("lengths").alias("vb"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", "la", "sa", "va", "lb", "sb", "vb").mapInArrow(run, "i long, j long, d double")
+    names = [(x, c) for x in "ab" for c in ("leaves", "sides", "lengths")]
+    met = every_pair(rows, "tree_id", 16).select(F.col("a.tree_id").alias("i"), F.col("b.tree_id").alias("j"), *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x, c in names])
+    return met.mapInArrow(run, "i long, j long, d double")
 
 
 def pruned(split_table: DataFrame, keep: DataFrame) -> DataFrame:
@@ -144,9 +152,8 @@ def pruned(split_table: DataFrame, keep: DataFrame) -> DataFrame:
 
 def overlaps(leaves: DataFrame, min_overlap: int = 4) -> DataFrame:
     """(a, b, common, different, ok) for pairs of (tree_id, leaves)."""
-    x = leaves.select(F.col("tree_id").alias("a"), F.col("leaves").alias("x"))
-    y = leaves.select(F.col("tree_id").alias("b"), F.col("leaves").alias("y"))
-    rows = x.join(y, F.col("a") < F.col("b")).withColumn("common", F.size(F.array_intersect("x", "y")))
+    met = every_pair(leaves.select("tree_id", "leaves"), "tree_id")
+    rows = met.select(F.col("a.tree_id").alias("a"), F.col("b.tree_id").alias("b"), F.col("a.leaves").alias("x"), F.col("b.leaves").alias("y")).withColumn("common", F.size(F.array_intersect("x", "y")))
     different = F.size("x") + F.size("y") - 2 * F.col("common")
     return rows.select("a", "b", "common", different.alias("different"), (F.col("common") >= min_overlap).alias("ok"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from sylvan.functions import scalars
 from sylvan.operators import align, cem, connect, matrix, pairs, partition, placement, trees
+from sylvan.session import cut
 
 EPS, LEAST, HEIGHT, K = 1.19, 3, 1.15, 7
 
@@ -45,7 +46,7 @@ def dm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.full(matrix.cut(dm(spark, sf_dir)), nodes(spark, sf_dir))
+    return cut(pairs.full(dm(spark, sf_dir), nodes(spark, sf_dir)))
 
 
 def labels_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +55,10 @@ def labels_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances, neighbour mask, its components as canonical groups, and each element's silhouette."""
-    sq = matrix.cut(square(spark, sf_dir))
+    sq = square(spark, sf_dir)
     near = matrix.knn_mask(sq, 2, "and").where("keep and i <> j")
     groups = connect.labelled(nodes(spark, sf_dir), near.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    part = matrix.cut(partition.canonical(groups.select(F.col("node").alias("elem"), "label")))
+    part = cut(partition.canonical(groups.select(F.col("node").alias("elem"), "label")))
     return partition.silhouettes(sq, part).select("elem", "grp", "neighbour", r6("score").alias("score"))
 
 
@@ -86,33 +87,33 @@ def q_kth(spark, d):
 
 
 def q_mask(logic: str):
-    return lambda spark, d: matrix.knn_mask(matrix.cut(square(spark, d)), K, logic).where("keep").select("i", "j")
+    return lambda spark, d: matrix.knn_mask(square(spark, d), K, logic).where("keep").select("i", "j")
 
 
 def q_local_scale(spark, d):
-    return matrix.local_scale(matrix.cut(square(spark, d)), K).select("i", "j", r6("scale").alias("scale"))
+    return matrix.local_scale(square(spark, d), K).select("i", "j", r6("scale").alias("scale"))
 
 
 def q_affinity(spark, d):
-    sq = matrix.cut(square(spark, d))
-    return matrix.affinity(sq, matrix.median_scale(sq)).select("i", "j", r6("a").alias("a"))
+    sq = square(spark, d)
+    return matrix.affinity(sq, matrix.row_medians(sq)).select("i", "j", r6("a").alias("a"))
 
 
 def q_laplacian(kind: str):
     def q(spark, d):
-        sq = matrix.cut(square(spark, d))
-        return matrix.laplacian(matrix.cut(matrix.affinity(sq, matrix.median_scale(sq))), kind).select("i", "j", r6("l").alias("l"))
+        sq = square(spark, d)
+        return matrix.laplacian(cut(matrix.affinity(sq, matrix.row_medians(sq))), kind).select("i", "j", r6("l").alias("l"))
 
     return q
 
 
 def q_components(spark, d):
-    near = matrix.knn_mask(matrix.cut(square(spark, d)), 1, "or").where("keep and i <> j")
+    near = matrix.knn_mask(square(spark, d), 1, "or").where("keep and i <> j")
     return connect.labelled(nodes(spark, d), near.select(F.col("i").alias("a"), F.col("j").alias("b")))
 
 
 def q_dbscan(spark, d):
-    return connect.dbscan(nodes(spark, d), matrix.cut(dm(spark, d)), EPS, LEAST)
+    return connect.dbscan(nodes(spark, d), cut(dm(spark, d)), EPS, LEAST)
 
 
 def q_single(spark, d):
@@ -129,7 +130,7 @@ def q_kelley(spark, d):
     every = parts[0]
     for x in parts[1:]:
         every = every.union(x)
-    return partition.kelley_penalty(matrix.cut(dm(spark, d)), every).select("k", r6("spread").alias("spread"), r6("penalty").alias("penalty"))
+    return partition.kelley_penalty(cut(dm(spark, d)), every).select("k", r6("spread").alias("spread"), r6("penalty").alias("penalty"))
 
 
 def q_fit(spark, d):
@@ -231,7 +232,7 @@ def newicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.cut(trees.splits(newicks(spark, sf_dir)))
+    return cut(trees.splits(newicks(spark, sf_dir)))
 
 
 def leaf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +272,7 @@ def q_kc(spark, d):
 
 
 def q_kc_distance(spark, d):
-    v = matrix.cut(trees.kendall_colijn(rooted_clades(spark, d), leaf_table(spark, d)))
+    v = cut(trees.kendall_colijn(rooted_clades(spark, d), leaf_table(spark, d)))
     return trees.kendall_colijn_distances(v, 0.5).select("i", "j", r6("d").alias("d"))
 
 

@@ -10,12 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sylvan.functions import cluster, treeops
-from sylvan.operators import align, cem, estimate, matrix, pairs, partition, placement, trees
+from sylvan.operators import align, cem, estimate, pairs, partition, placement, resample, trees
 from sylvan.plans import catalogue as C
+from sylvan.session import cut
+from sylvan.sources import groups as files
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, list[int]]:
-    return pairs.to_array(matrix.cut(C.dm(spark, sf_dir)))
+    return pairs.to_array(cut(C.dm(spark, sf_dir)))
 
 
 def _coords(spark: SparkSession, ids: list[int], x: np.ndarray) -> DataFrame:
@@ -48,7 +50,7 @@ def _clusters(make):
 
 def oos_mds(spark, d):
     """Every point placed from its distances to the label centroids, themselves placed by classical scaling."""
-    far = matrix.cut(C.likelihoods(spark, d).select(F.col("elem").alias("query"), F.col("grp").alias("ref"), F.sqrt(-F.col("lnl")).alias("d")))
+    far = cut(C.likelihoods(spark, d).select(F.col("elem").alias("query"), F.col("grp").alias("ref"), F.sqrt(-F.col("lnl")).alias("d")))
     p = C.points(spark, d)
     centre = p.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v")).orderBy("label", "k").collect()
     refs = sorted({r["label"] for r in centre})
@@ -57,7 +59,7 @@ def oos_mds(spark, d):
 
 
 def analytical_placement(spark, d):
-    far = matrix.cut(C.likelihoods(spark, d).select(F.col("elem").alias("query"), F.col("grp").alias("ref"), F.sqrt(-F.col("lnl")).alias("d")))
+    far = cut(C.likelihoods(spark, d).select(F.col("elem").alias("query"), F.col("grp").alias("ref"), F.sqrt(-F.col("lnl")).alias("d")))
     p = C.points(spark, d)
     centre = p.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v")).orderBy("label", "k").collect()
     refs = sorted({r["label"] for r in centre})
@@ -71,9 +73,9 @@ def column_bootstrap(spark, d):
 
 
 def permuted_columns(spark, d):
-    seqs = matrix.cut(C.alignment(spark, d))
+    seqs = cut(C.alignment(spark, d))
     groups = seqs.select("locus").distinct().select("locus", F.when(F.col("locus") < "F", 0).otherwise(1).alias("grp"))
-    return align.permuted(seqs, matrix.cut(groups), 7)
+    return align.permuted(seqs, cut(groups), 7)
 
 
 def random_trees(spark, d):
@@ -96,8 +98,8 @@ def ml_distance(spark, d):
 
 def tree_likelihood(spark, d):
     """Every alignment's likelihood under every alignment's tree."""
-    seqs = matrix.cut(C.alignment(spark, d))
-    made = matrix.cut(estimate.estimate_trees(seqs).select(F.col("locus").alias("tree"), "newick"))
+    seqs = cut(C.alignment(spark, d))
+    made = cut(estimate.estimate_trees(seqs).select(F.col("locus").alias("tree"), "newick"))
     return estimate.site_scores(seqs, seqs.select("locus").distinct().crossJoin(made))
 
 
@@ -112,7 +114,7 @@ def simulated_classes(spark, d):
 
 def cem_iterate(spark, d):
     """Classes of the points by EM from their labels halved, each class fitted by its mean."""
-    p = matrix.cut(C.points(spark, d).select(F.col("id").alias("elem"), "x", "label"))
+    p = cut(C.points(spark, d).select(F.col("id").alias("elem"), "x", "label"))
 
     def table(part: DataFrame) -> DataFrame:
         mean = part.join(p, "elem").select("grp", F.posexplode("x").alias("k", "v")).groupBy("grp", "k").agg(F.avg("v").alias("v")).groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("c"))
@@ -137,12 +139,51 @@ def collapsed_edges(spark, d):
 
 def least_squares_scores(spark, d):
     """Every brand's tree against the mean patristic distances, with the variance over brands."""
-    p = matrix.cut(trees.patristic(C.rooted_clades(spark, d), C.leaf_table(spark, d)))
+    p = cut(trees.patristic(C.rooted_clades(spark, d), C.leaf_table(spark, d)))
     family = p.groupBy("a", "b").agg(F.avg("d").alias("dist"), (F.var_pop("d") + 1e-6).alias("var"))
     return estimate.squares_scores(family, p).select("tree_id", C.r6("score").alias("score"), C.r6("lnl").alias("lnl"))
 
 
+def least_squares_search(spark, d):
+    """For every market segment, the least-squares tree of its closed-form distances, searched from neighbour joining."""
+    seqs = cut(C.alignment(spark, d))
+    guides = estimate.estimate_trees(seqs).select(F.col("locus").alias("problem"), "newick")
+    far = align.jc69(seqs).where("d is not null").select(F.col("locus").alias("problem"), F.lit(0).alias("family"), "a", "b", F.col("d").alias("dist"), (F.col("d") / F.col("n") + 1e-6).alias("var"))
+    return estimate.search_problems(far, guides, 3).select("problem", "newick", C.r6("score").alias("score"))
+
+
+def group_alignments(spark, d):
+    """The files of two groups of segments: the alignment laid end to end and the partition lines."""
+    seqs = cut(C.alignment(spark, d))
+    part = seqs.select("locus").distinct().select("locus", F.when(F.col("locus") < "F", 0).otherwise(1).alias("grp"))
+    return files.group_files(seqs, cut(part), F.lit("DNA"))
+
+
+def null_gain(spark, d):
+    """The gain from one group of segments to two, in the data (replicate 0) and in three permuted replicates."""
+    seqs = cut(C.alignment(spark, d))
+    one = cut(seqs.select("locus").distinct().withColumn("grp", F.lit(0)))
+    by = lambda m, k: cluster.flat(cluster.linkage(m, "average"), len(m), k)
+    data = cut(seqs.withColumn("rep", F.lit(0)))
+    real = resample.gains(cut(resample.scores(data, resample.clustered(data, [1, 2], by, "euc"))))
+    return real.union(resample.null_gains(seqs, one, 1, 3, 7, by, "euc"))
+
+
+def _linked(method):
+    return _clusters(lambda m: cluster.flat(cluster.linkage(m, method), len(m), 10))
+
+
 QUERIES = {
+    "least_squares_search": least_squares_search,
+    "group_alignments": group_alignments,
+    "null_gain": null_gain,
+    "complete_cluster": _linked("complete"),
+    "weighted_cluster": _linked("weighted"),
+    "centroid_cluster": _linked("centroid"),
+    "median_cluster": _linked("median"),
+    "kmeans_cluster": _clusters(lambda m: cluster.kmeans(cluster.classical(m, 3), 10, 7)),
+    "mixture_cluster": _clusters(lambda m: cluster.gaussian_mixture(cluster.classical(m, 3), 10, 7)),
+    "tsne_embedding": _embedding("tsne"),
     "geodesic_distance": geodesic_distance,
     "cmds_embedding": _embedding("cmds"),
     "kpca_embedding": _embedding("kpca"),

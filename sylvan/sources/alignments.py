@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sylvan.functions.scalars import natural_key, strip_extensions
+from sylvan.operators.prefix import running
 
 SUFFIXES = {"fasta": ("fa", "fas", "fasta"), "phylip": ("phy",)}
 SEQUENCES = "locus string, seq_idx int, taxon string, seq string"
@@ -92,7 +93,7 @@ def read_alignments(spark: SparkSession, path: str, kind: str, header: Callable[
                 yield pa.RecordBatch.from_pydict({"path": pa.array([name] * len(rows)), "seq_idx": pa.array(range(len(rows)), pa.int32()), "taxon": pa.array([n for n, _ in rows]), "seq": pa.array([s for _, s in rows])})
 
     rows = files.mapInArrow(run, "path string, seq_idx int, taxon string, seq string")
-    order = files.select("path", (F.row_number().over(W.orderBy(natural_key(F.col("path")))) - 1).alias("locus_id"))
+    order = running(files.select("path", natural_key(F.col("path")).alias("key"), F.lit(1).alias("one")), ["key", "path"], {"locus_id": "one"}).select("path", F.col("locus_id").cast("int").alias("locus_id"))
     taxon = header(F.col("taxon")) if header else F.col("taxon")
     return rows.join(order, "path").select("locus_id", strip_extensions(F.col("path")).alias("locus"), "seq_idx", taxon.alias("taxon"), "seq")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Columns of a square csv.
+MOST_COLUMNS = 5000
 PART = "struct<alpha:double,distances:array<array<double>>,frequencies:array<double>,model:string,name:string,rates:array<double>,variances:array<array<double>>>"
 PARAMETERS = f"filename string, likelihood double, ml_tree string, ms_tree string, nj_tree string, sse double, partitions map<string,{PART}>"
 
@@ -16,12 +18,14 @@ def read_distances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     long = table.unpivot([index], names, "to", "d").select(F.col(f"`{index}`").alias("of"), "to", F.col("d").cast("double"))
     of = labels.select(F.col("i"), F.col("name").alias("of"))
     to = labels.select(F.col("i").alias("j"), F.col("name").alias("to"))
-    return long.join(F.broadcast(of), "of").join(F.broadcast(to), "to").where("i < j").select("i", "j", "d"), labels
+    return long.join(of, "of").join(to, "to").where("i < j").select("i", "j", "d"), labels
 
 
 def write_distances(square: DataFrame, labels: DataFrame, path: str) -> None:
-    """A square csv with the names as header and index; columns in order of i."""
-    names = [r["name"] for r in labels.orderBy("i").collect()]
+    """A square csv with the names as header and index; columns in order of i. At most ``MOST_COLUMNS`` names."""
+    names = [r["name"] for r in labels.orderBy("i").limit(MOST_COLUMNS + 1).collect()]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns: write the edge list as Parquet")
     named = square.join(labels, "i").withColumnRenamed("name", "of").join(labels.select(F.col("i").alias("j"), F.col("name").alias("to")), "j")
     wide = named.groupBy("i", "of").pivot("to", names).agg(F.first("d")).orderBy("i").drop("i").withColumnRenamed("of", "_index")
     wide.coalesce(1).write.option("header", True).csv(path)
