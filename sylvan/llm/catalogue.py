@@ -114,14 +114,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.through_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-OP10_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha256(b) AS digest FROM p),
-m AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM d)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    out = out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+    return out.repartitionByRange("position").sortWithinPartitions("position")
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#]*)([^?#]*)([?][^#]+)?', ['host', 'path', 'query']) AS u,
+         strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+  FROM pages),
+d AS (
+  SELECT page_id, captured, octet_length(b)::BIGINT AS n, sha256(b) AS digest,
+         list_aggregate(list_reverse(string_split(regexp_replace(lower(u.host), '^www[.]', ''), '.')), 'string_agg', ',') || ')' || lower(CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query) AS url_key
+  FROM p),
+m AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position FROM d)
+SELECT url_key, captured, position, page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first < page_id THEN first END AS refers_to FROM m
 """
 

@@ -8,15 +8,20 @@ An archive is a series of gzip members, one a record; with it goes its index run
 sorted by (URL key, timestamp, page_id). Archive and run are one row of a Parquet table, so that any store
 Spark writes to can hold them and lost tasks leave nothing behind.
 
-Index merge. Runs are cut at common splitters of the key space (quantiles of a sample of about
-``SPLIT_SAMPLE`` captures by a hash; they affect only how even the ranges are), and each range's segments, already
-sorted, are merged by a loser tree. Ranges in order give the whole capture history in order. A key with
-very many captures is split too, since splitters hold timestamp and page_id.
+Index merge. The key space is cut in two levels: coarse ranges by quantiles of a sample of about ``SPLIT_SAMPLE``
+captures by a hash, and each of them into ranges of about ``RANGE_CAPTURES`` by quantiles of a denser sample
+that a task for each coarse range takes, so neither the driver nor a task holds more as the index grows;
+``DEEPEST`` coarse levels follow each other where one isn't enough. Runs are cut at these splitters (which
+affect only how even the ranges are), and each range's segments, already sorted, are merged by a loser tree.
+Ranges in order give the whole capture history in order, and a capture's position in it. A key with very many
+captures is split too, since splitters hold timestamp and page_id.
 
 Defined results. Null html: empty payload. Null url: an empty target. Null page_id: always a response, and
-first in its key's order. Repeated rows: of several rows with the smallest page_id one is the response, the
-others revisit it. Empty table: no archives. Further columns aren't read; a ``captured`` timestamp column
-is used where there is one, else the time is ``EPOCH`` plus page_id seconds.
+first in its key's order. Very long payloads: whole, a record each, in an archive of their own size. Repeated
+rows: of several rows with the smallest page_id one is the response, the others revisit it; captures that tie in
+URL key, time and page_id follow archive and offset. Empty table: no archives. Further columns, whatever their
+names, aren't read; a ``captured`` timestamp column is used where there is one, else the time is ``EPOCH`` plus
+page_id seconds.
 """
 
 from __future__ import annotations
@@ -34,12 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sylvan.llm.arrow import in_arrow
+from sylvan.operators.prefix import running
 from sylvan.session import cut, table_path
 
 REVISIT_BYTES = 100
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 4_000_000
 SPLIT_SAMPLE, RANGE_CAPTURES = 4096, 50_000
+#: Ranges that the first level makes at most, and levels after it.
+COARSE, DEEPEST = 512, 4
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "struct<url_key:string,captured:string,page_id:bigint,archive:string,offset:bigint,length:bigint>"
@@ -199,38 +207,81 @@ def _key(e: tuple) -> tuple:
     return (e[0], e[1], -1 if e[2] is None else e[2], e[3], e[4])
 
 
+def _segments(splitters: Sequence[tuple], rows: list[dict]) -> Iterator[tuple[int, list[dict]]]:
+    """A sorted segment cut at the splitters: (number of the range, what falls into it)."""
+    order = [_key(tuple(e[f] for f in _FIELDS)) for e in rows]
+    cuts = [0, *(bisect_left(order, s) for s in splitters), len(rows)]
+    return ((i, rows[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a)
+
+
+def _quantiles(keys: list[tuple], parts: int) -> list[tuple]:
+    keys = sorted(keys)
+    parts = max(1, min(parts, len(keys)))
+    return [keys[len(keys) * i // parts] for i in range(1, parts)]
+
+
+def _split(segments: DataFrame, deep: int) -> DataFrame:
+    """(range, segment) with every range cut into as many as its captures ask for, at most ``SPLIT_SAMPLE // 8`` of them.
+
+    A range is its numbers on all levels, in order. Each range's splitters come from its own sample, by one task.
+    """
+    sizes = segments.groupBy("range").agg(F.sum(F.size("segment")).alias("n")).withColumn("parts", F.least(F.floor(F.col("n") / RANGE_CAPTURES) + 1, F.lit(SPLIT_SAMPLE // 8)).cast("int"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / SPLIT_SAMPLE)).cast("long")
+    entries = segments.join(sizes, "range").select("range", "parts", step.alias("step"), F.explode("segment").alias("e"))
+    sample = entries.where((F.col("parts") > 1) & (F.pmod(F.xxhash64(F.col("e.archive"), F.col("e.offset"), F.lit(deep)), F.col("step")) == 0))
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        rows = [tuple(e[f] for f in _FIELDS) for e in table.column("e").to_pylist()]
+        found = _quantiles([_key(r) for r in rows], table.column("parts")[0].as_py())
+        entry = [dict(zip(_FIELDS, (k, w, None if p < 0 else p, a, o, 0))) for k, w, p, a, o in found]
+        return pa.table({"range": pa.array([key[0].as_py()], pa.list_(pa.int32())), "splitters": pa.array([entry], pa.list_(_ENTRY))})
+
+    chosen = sample.select("range", "parts", "e").groupBy("range").applyInArrow(choose, f"range array<int>, splitters array<{ENTRY}>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, rows, found in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                parts = list(_segments([_key(tuple(e[f] for f in _FIELDS)) for e in found or []], rows))
+                yield pa.RecordBatch.from_pydict({"range": pa.array([[*at, i] for i, _ in parts], pa.list_(pa.int32())), "segment": pa.array([x for _, x in parts], pa.list_(_ENTRY))})
+
+    return in_arrow(segments.join(chosen, "range", "left").select("range", "segment", "splitters"), run, f"range array<int>, segment array<{ENTRY}>")
+
+
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """The merged index: (range, number, url_key, captured, page_id, archive, offset, length), in order of range and number."""
+    """The merged index: (position, url_key, captured, page_id, archive, offset, length), position from 0 in global order."""
     runs = spark.read.schema(f"archive string, data binary, run array<{ENTRY}>").parquet(path).select("run")
     n = runs.agg(F.sum(F.size("run"))).first()[0] or 0
-    step = max(1, n // SPLIT_SAMPLE)
-    sample = runs.select(F.explode("run").alias("e")).select("e.*").where(F.pmod(F.xxhash64("archive", "offset"), F.lit(step)) == 0)
-    keys = sorted(_key(tuple(r[f] for f in _FIELDS)) for r in sample.collect())
-    ranges = max(1, min(n // RANGE_CAPTURES + 1, len(keys)))
-    splitters = [keys[len(keys) * i // ranges] for i in range(1, ranges)]
+    sample = runs.select(F.explode("run").alias("e")).select("e.*").where(F.pmod(F.xxhash64("archive", "offset"), F.lit(max(1, n // SPLIT_SAMPLE))) == 0)
+    keys = [_key(tuple(r[f] for f in _FIELDS)) for r in sample.collect()] if n > RANGE_CAPTURES else []  # about SPLIT_SAMPLE rows
+    splitters = _quantiles(keys, min(n // RANGE_CAPTURES + 1, COARSE))
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in batch.column(0).to_pylist():
-                order = [_key(tuple(e[f] for f in _FIELDS)) for e in rows]
-                cuts = [0, *(bisect_left(order, s) for s in splitters), len(rows)]
-                parts = [(i, rows[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                yield pa.RecordBatch.from_pydict({"range": pa.array([i for i, _ in parts], pa.int32()), "segment": pa.array([x for _, x in parts], pa.list_(_ENTRY))})
+                parts = list(_segments(splitters, rows))
+                yield pa.RecordBatch.from_pydict({"range": pa.array([[i] for i, _ in parts], pa.list_(pa.int32())), "segment": pa.array([x for _, x in parts], pa.list_(_ENTRY))})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         parts = [[tuple(e[f] for f in _FIELDS) for e in s] for s in table.column("segment").to_pylist()]
         merged = list(LoserTree(parts, _key))
         columns = {f: pa.array(c, _ENTRY.field(f).type) for f, c in zip(_FIELDS, zip(*merged))}
-        return pa.table({"range": pa.array([key[0].as_py()] * len(merged), pa.int32()), "number": pa.array(range(len(merged)), pa.int64())} | columns)
+        return pa.table({"range": pa.array([key[0].as_py()] * len(merged), pa.list_(pa.int32())), "number": pa.array(range(len(merged)), pa.int64())} | columns)
 
-    cutted = in_arrow(runs, segments, f"range int, segment array<{ENTRY}>")
-    return cutted.groupBy("range").applyInArrow(merge, "range int, number long, url_key string, captured string, page_id long, archive string, offset long, length long")
+    cutted = in_arrow(runs, coarse, f"range array<int>, segment array<{ENTRY}>")
+    levels, room = 0, COARSE * RANGE_CAPTURES
+    while n > room // 8 and levels < DEEPEST:
+        cutted = _split(cut(cutted), levels)
+        levels, room = levels + 1, room * SPLIT_SAMPLE // 8
+    cutted = cut(cutted)
+    places = running(cutted.groupBy("range").agg(F.sum(F.size("segment")).cast("long").alias("n")), ["range"], {"before": "n"}).select("range", "before")
+    merged = cutted.groupBy("range").applyInArrow(merge, "range array<int>, number long, url_key string, captured string, page_id long, archive string, offset long, length long")
+    return merged.join(places, "range").select((F.col("before") + F.col("number")).alias("position"), *_FIELDS)
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
-    """Write all pages' archives to the shared folder, merge their index, and read the records it lists."""
+    """Write all pages' archives to the shared folder, merge their index, and read the records it lists, with url_key, captured and position."""
     spark = pages.sparkSession
     path = table_path(spark, "archives")
     write_archives(pages, path)
-    listed = history(spark, path).select("archive", "offset", "url_key", "captured", "range", "number")
+    listed = history(spark, path).select("archive", "offset", "url_key", "captured", "position")
     return read_records(spark, path).join(listed, ["archive", "offset"]).drop("archive", "offset")
