@@ -9,7 +9,7 @@ different values of a shape get different ones:
 * IBANs: the account part is permuted class by class, the check digits are computed anew;
 * phone and social security numbers: their digits are permuted, a leading +country code stays;
 * IPv4 addresses: permuted as 32-bit numbers;
-* dates: permuted within their century, in the way they are written;
+* dates, of years 1 to 9999: permuted within their century, in the way they are written;
 * e-mail addresses: letters and digits of the local part are permuted, the domain stays.
 
 Equality is that of the value, not of its spelling: separators don't count, nor does case in addresses.
@@ -17,8 +17,10 @@ The key is a parameter; who has it can invert every pseudonym, so it isn't a con
 
 All of it is one narrow projection over whole texts. Texts without a digit or @ skip the work.
 
-Defined results. Null text: null, no finds. Empty text: itself. Repeated rows: each on its own, alike. Empty
-table: no rows. Other columns are carried along; one with the name of a column made here gives way to it.
+Defined results. Null text: null, no finds. Empty text: itself. Very long texts: whole. Finds that tie: the
+leftmost, of several kinds there the first of ``KINDS``. Repeated rows: each on its own, alike. Empty table: no
+rows. Other columns, whatever their names, are carried along; one with the name of a column made here gives
+way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sylvan.llm.columns import without
+from sylvan.llm.columns import named, without
 
 #: Characters of an IBAN by country. Other countries, and those whose length has changed, have no bound.
 IBAN_COUNTRIES = {
@@ -57,8 +59,8 @@ PATTERNS = {
     "card": r"(?<![\d+])(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{13,19})(?!\d)",
 }
 ROUNDS = 8
-#: (first year, days, left size, right size) of the centuries within which dates move; left times right is the days.
-CENTURIES = ((1900, 36524, 92, 397), (2000, 36525, 75, 487))
+#: Sizes whose product is the days of a century: of the first, which begins with year 1, of one whose first year is a leap year, and of any other.
+FIRST_CENTURY, LONG_CENTURY, CENTURY = (51, 709), (75, 487), (92, 397)
 
 
 def _any_pattern() -> str:
@@ -73,9 +75,9 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"[^0-9]", "")
 
 
-def _stream(key: Column, kind: str, turn: Column, other: Column, size: Column) -> Column:
+def _stream(key: Column, kind: str | Column, turn: Column, other: Column, size: Column) -> Column:
     """128 hexadecimal digits that depend on the key, the round and the other half."""
-    return F.sha2(F.concat_ws("|", key, F.lit(kind), turn.cast("string"), size.cast("string"), other.cast("string")), 512)
+    return F.sha2(F.concat_ws("|", key, F.lit(kind) if isinstance(kind, str) else kind, turn.cast("string"), size.cast("string"), other.cast("string")), 512)
 
 
 def _moved(half: Column, stream: Column) -> Column:
@@ -110,7 +112,7 @@ def permuted(value: Column, kind: str, key: Column) -> Column:
     return _let(value, network)
 
 
-def permuted_number(value: Column, left: int, right: int, kind: str, key: Column) -> Column:
+def permuted_number(value: Column, left: int, right: int, kind: str | Column, key: Column) -> Column:
     """The Feistel permutation of the numbers below left * right, its halves moved modulo left and right."""
     start = F.struct(F.floor(value / right).cast("bigint").alias("l"), (value.cast("bigint") % right).alias("r"))
 
@@ -185,20 +187,19 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
-    def as_date(form: str) -> Column:
-        return F.try_to_timestamp(m, F.lit(form)).cast("date")
-
     def moved(day: Column, form: str) -> Column:
-        out = F.lit(None).cast("string")
-        for year, days, left, right in CENTURIES:
-            first = F.make_date(F.lit(year), F.lit(1), F.lit(1))
-            place = F.datediff(day, first)
-            new = F.date_format(F.date_add(first, permuted_number(place, left, right, f"date{year}", key).cast("int")), form)
-            out = F.when((place >= 0) & (place < days), new).otherwise(out)
-        return out
+        century = F.floor(F.year(day) / 100).cast("int")
+
+        def within(first: Column) -> Column:
+            place, kind = F.datediff(day, first), F.concat(F.lit("date"), century * 100)
+            new = lambda sizes: permuted_number(place, *sizes, kind, key)
+            number = F.when(century == 0, new(FIRST_CENTURY)).when(century % 4 == 0, new(LONG_CENTURY)).otherwise(new(CENTURY))
+            return F.date_format(F.date_add(first, number.cast("int")), form)
+
+        return _let(F.make_date(F.greatest(century * 100, F.lit(1)), F.lit(1), F.lit(1)), within)
 
     def read(form: str, other: Column | None = None) -> Column:
-        return _let(as_date(form), lambda d: moved(d, form) if other is None else F.when(d.isNotNull(), moved(d, form)).otherwise(other))
+        return _let(F.try_to_date(m, form), lambda d: F.when(F.year(d) >= 1, moved(d, form)).otherwise(F.lit(None).cast("string") if other is None else other))
 
     slash = read("MM/dd/yyyy", read("dd/MM/yyyy"))
     return F.when(m.contains("-"), read("yyyy-MM-dd")).when(m.contains("."), read("dd.MM.yyyy")).otherwise(slash)
@@ -235,9 +236,9 @@ def pseudonym(m: Column, key: Column) -> Column:
     )
 
 
-def pseudonymised(text: Column, key: str) -> Column:
+def pseudonymised(text: Column, key: str | Column) -> Column:
     """A struct: the text with its valid finds replaced, and how many they are."""
-    pattern = _any_pattern()
+    pattern, secret = _any_pattern(), F.lit(key) if isinstance(key, str) else key
 
     def of(finds: Column) -> Column:
         def with_names(names: Column) -> Column:
@@ -245,14 +246,18 @@ def pseudonymised(text: Column, key: str) -> Column:
             pairs = F.zip_with(F.split(text, pattern), spelled, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
             return F.struct(F.array_join(pairs, "").alias("text"), F.size(F.array_compact(names)).cast("long").alias("n"))
 
-        return F.when(F.size(finds) == 0, F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(_let(F.transform(finds, lambda m: pseudonym(m, F.lit(key))), with_names))
+        return F.when(F.size(finds) == 0, F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(_let(F.transform(finds, lambda m: pseudonym(m, secret)), with_names))
 
     none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     return F.when(F.coalesce(text.rlike("[0-9@]"), F.lit(False)), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """The documents with valid personal data replaced in ``text``, and ``n_pseudonyms``."""
+def pseudonymise(docs: DataFrame, key: str | Column) -> DataFrame:
+    """The documents with valid personal data replaced in ``text``, and ``n_pseudonyms``.
+
+    A key given as text stands in plans and event logs; ``spark.sql.redaction.string.regex`` can hide it, or the
+    key is given as a column, which a job joins from a table that only it may read.
+    """
     docs = without(docs, ["n_pseudonyms", "_p"])
     rows = docs.withColumn("_p", pseudonymised(F.col("text"), key))
-    return rows.select(*[F.col("_p.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_p.n").alias("n_pseudonyms"))
+    return rows.select(*[F.col("_p.text").alias("text") if c == "text" else named(c) for c in docs.columns], F.col("_p.n").alias("n_pseudonyms"))
