@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of a batch at most; a longer row makes a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
@@ -28,8 +30,14 @@ def give_back() -> None:
         return
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with the session's batches held to the sizes above, if they are larger."""
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with the session's batches held to the sizes above, if they are larger.
+
+    ``run`` takes columns by place: those with unusual names are renamed on the way in, since PySpark looks
+    columns up by unquoted name there. The two settings stay as they are put here, for plans are made later.
+    """
+    if not all(re.fullmatch(r"\w+", c) for c in df.columns):
+        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
         conf.set(_ROWS, str(BATCH_ROWS))
