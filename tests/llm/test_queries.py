@@ -20,7 +20,7 @@ ROWS = [
     (7, " \n\t ", "en", "c"), (8, "short one", "en", "c"), (9, "short one", "en", "c"), (10, LONG, "en", "a"), (10, LONG, "en", "a"), (None, FAR + " x", "en", "a"), (12, "ünï – “q”", "de", "b"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASH = ["score", "size", "taken", "position", "positions", "_fp", "_m", "n_words", "kept", "_p", "n_pseudonyms", "_carried", "target", "label", "_at", "bands", "fp"]
+CLASH = ["my col", "a:b", "a.b", "we`ird", "(x)", "links", "class", "_of", "_range", "row", "fate", "closing", "score", "size", "taken", "position", "positions", "_fp", "_m", "n_words", "kept", "_p", "n_pseudonyms", "_carried", "target", "label", "_at", "bands", "fp"]
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def sf(spark, tmp_path_factory):
     good, bad = "the quick words of a clean text and more of it", "### $$$ %%% ### $$$ %%% ### $$$ %%% ###"
     many = [(100 + k, f"{good if k % 3 else bad} n{k} m{k} o{k} p{k} q{k}", "en", "a") for k in range(300)]
     rows += [(*r, *[c for c in CLASH]) for r in many]
-    spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in CLASH)).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(rows, SCHEMA + "".join(f", `{c.replace('`', '``')}` string" for c in CLASH)).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(k, int((k - 100) % 3 > 0), int((k - 100) % 3 == 0)) for k in range(100, 400)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     page = [(k, f"http://h{k % 2}.example.com/{k % 3}", ("x" * 120) if k % 2 else f"<p>{k}</p>") for k in range(20)]
     page += [(3, "http://z/", "x" * 120), (1, "http://again/", "x" * 120), (None, None, "x" * 120), (77, None, None), (78, "", ""), (79, "http://a/", "é" * 50), (80, "http://b/", "é" * 50)]
@@ -107,6 +107,122 @@ def test_dropping_copies_keeps_one_row_each(docs):
     assert Counter(r["doc_id"] for r in out) == Counter([1, 4, 5, 6, 7, 8, 10, 12])
 
 
+def families(n, words, changed, seed):
+    """Texts of a few templates, each with some words of its own; a repeated line here and there."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"f{i}" for i in range(4000)]
+    base = [list(rng.choice(vocabulary, words)) for _ in range(5)]
+    out = []
+    for k in range(n):
+        w = list(base[k % 5])
+        for i in rng.choice(words, rng.integers(0, changed + 1), replace=False):
+            w[i] = f"own{k}_{i}" if rng.random() < 0.7 else f"few{rng.integers(3)}"
+        out.append((k, " ".join(w + w[:12] * int(rng.integers(0, 3)))))
+    return out
+
+
+def multiset(t):
+    w = W.findall(t or "")
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_classes_and_links_of_templates_against_brute_force(spark, weighted, monkeypatch):
+    """Similarities around the threshold, multisets, and windows that are dealt to several tasks."""
+    monkeypatch.setattr(neardup, "HOT", 8)
+    monkeypatch.setattr(neardup, "HOT_TIMES", 0)
+    monkeypatch.setattr(neardup, "COMBINED", 50)
+    rows = families(250, 60, 5, 1)
+    sets = [multiset(t) if weighted else Counter(set(multiset(t))) for _, t in rows]
+    near = defaultdict(set)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                near[i].add(j)
+                near[j].add(i)
+    group, todo = {}, list(range(len(rows)))
+    for k in todo:
+        stack = [k] if k not in group else []
+        while stack:
+            x = stack.pop()
+            if x not in group:
+                group[x] = k
+                stack += near[x]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), weighted=weighted).collect()
+    got = {r["doc_id"]: r["class_id"] for r in out}
+    pairs = [(i, j) for i in near for j in near[i]]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.999 * len(pairs) and all(group[k] == group[c] for k, c in got.items())
+    assert len(set(group.values())) > 20 and all(r["links"] <= len(near[r["doc_id"]]) + sum(t == rows[r["doc_id"]][1] for _, t in rows) for r in out)
+
+
+def test_links_are_found_where_the_tables_have_them(spark):
+    """Recall against all pairs of the driver's documents that are 0.8 alike."""
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables aren't here")
+    docs = [(r[0], multiset(r[1])) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in catalogue.op1_dart_minhash(spark, sf).collect()}
+    at = defaultdict(set)
+    for k, (_, m) in enumerate(docs):
+        for w in m:
+            at[w].add(k)
+    pairs = {(i, j) for k in at.values() if len(k) > 1 for i in k for j in k if i < j}
+    alike = [(docs[i][0], docs[j][0]) for i, j in pairs if sum((docs[i][1] & docs[j][1]).values()) >= 0.8 * sum((docs[i][1] | docs[j][1]).values())]
+    assert alike and all(got[a] == got[b] for a, b in alike)
+
+
+def test_a_large_family_below_the_threshold_ends_soon(spark):
+    """Ten thousand texts of one template, none 0.8 alike: no link, and no comparison of all with all."""
+    import time
+
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for k in range(10_000):
+        w = list(base)
+        for i in (7, 27, 47, 67, 87):
+            w[i] = f"own{k}_{i}"
+        rows.append((k, " ".join(w)))
+    began = time.time()
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert out.where("class_id <> doc_id or links > 0").isEmpty() and time.time() - began < 240
+
+
+def test_rows_of_one_id_and_the_same_words(spark):
+    """Which row stays doesn't depend on how rows are dealt out."""
+    rows = [(1, "a b  c", 5), (1, "a b c", 4), (1, "a  b c", 3), (2, "a b c", 1), (None, "a b c", 0), (3, None, 0), (3, None, 1)]
+    kept = {tuple(sorted(map(repr, neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(kept) == 1 and len(kept.pop()) == 3
+
+
+@pytest.mark.parametrize("name", ["my col", "a:b", "a.b", "we`ird", "_carried", "Score", "c0"])
+def test_stages_carry_any_column(spark, name):
+    """Columns and fields of any name and kind come through every stage untouched."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    rows = [(k, f"text {k % 4} with some words and a card 4952935900253052", "a" if k % 3 else None, [k], k) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, l array<int>, v int")
+    docs = docs.selectExpr("doc_id", "text", "source", f"named_struct('in ner', v, 'x.y', l) AS {quoted}")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+    assert len(quality.classify(docs, labels).collect()) == len(toxicity.classify(docs, labels).collect()) == 12
+    assert rules.quality_rules(docs).count() == pii.pseudonymise(docs, "k").count() == mixing.plan_mix(docs).count() == 12
+    labels.createOrReplaceTempView("labels_of_any_column")
+    for stage in (neardup.drop_near_duplicates, lambda d: mixing.emit_mix(mixing.plan_mix(d)).select(*[mixing.named(c) for c in d.columns])):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.schema[name].dataType == docs.schema[name].dataType and out.count() > 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows with one doc_id, or none, and texts of their own: the same results however rows are dealt out."""
+    rows = [(k % 3 if k % 5 else None, f"text number {k} " * (k % 7 + 1), "a" if k % 2 else "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(3)], "doc_id long, quality int, toxic int")
+    some = lambda f: {tuple(sorted(map(repr, f(docs.repartition(n)).collect()))) for n in (1, 4, 9)}
+    for f in (mixing.plan_mix, lambda d: learn.labelled_sample(d, labels, "toxic"), lambda d: toxicity.classify(d, labels), lambda d: repair.through_files(d, shard_tokens=50).drop("fate")):
+        assert len(some(f)) == 1
+
+
 def test_measures_against_brute_force(spark, docs):
     rows = ROWS + [(30 + k, " ".join(np.random.default_rng(k).choice(list("abcdefg"), 40)) + "\na b\na b\n#x|<", "en", "a") for k in range(40)]
     out = rules.quality_rules(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "kept")).collect()
@@ -243,7 +359,7 @@ def test_search_against_brute_force(spark, sf):
 def test_archives_against_brute_force(spark, sf):
     import hashlib
 
-    got = Counter(tuple(r) for r in catalogue.op10_index_merge(spark, sf).collect())
+    got = Counter(tuple(r)[:5] for r in catalogue.op10_index_merge(spark, sf).collect())
     rows = [(r[0], (r[2] or "").encode()) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     first, want, answered = {}, Counter(), set()
     for p, b in rows:
@@ -258,14 +374,26 @@ def test_archives_against_brute_force(spark, sf):
     assert got == want
 
 
-def test_history_is_in_order(spark, sf, tmp_path, monkeypatch):
+@pytest.mark.parametrize("coarse,sample,per", [(512, 4096, 50_000), (2, 16, 5), (3, 24, 2)])
+def test_history_is_in_order(spark, sf, tmp_path, monkeypatch, coarse, sample, per):
+    """By one range, or by several levels of ranges."""
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 600)
-    monkeypatch.setattr(warc, "RANGE_CAPTURES", 5)
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", per)
+    monkeypatch.setattr(warc, "COARSE", coarse)
+    monkeypatch.setattr(warc, "SPLIT_SAMPLE", sample)
     pages = spark.read.parquet(f"{sf}/pages.parquet").drop("captured").repartition(3)
     warc.write_archives(pages, str(tmp_path / "w"))
-    rows = sorted(warc.history(spark, str(tmp_path / "w")).collect(), key=lambda r: (r["range"], r["number"]))
+    rows = sorted(warc.history(spark, str(tmp_path / "w")).collect(), key=lambda r: r["position"])
     keys = [(r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"]) for r in rows]
-    assert len(rows) == pages.count() and keys == sorted(keys) and len({r["range"] for r in rows}) > 1
+    assert keys == sorted(keys) and [r["position"] for r in rows] == list(range(pages.count()))
+    want = Counter((warc.url_key(r["url"] or ""), r["page_id"]) for r in pages.collect())
+    assert Counter((r["url_key"], r["page_id"]) for r in rows) == want
+
+
+def test_captures_come_in_global_order(spark, sf):
+    out = catalogue.op10_index_merge(spark, sf).collect()
+    keys = [(r["url_key"], r["captured"], -1 if r["page_id"] is None else r["page_id"]) for r in out]
+    assert [r["position"] for r in out] == list(range(len(out))) and keys == sorted(keys)
 
 
 @pytest.mark.parametrize("scored,column", [(quality.scored, "quality"), (toxicity.scored, "toxic")])
