@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last
 return the columns of documents. SQL can express neither the trained classifier nor the token packing, so
 the stages are tested against brute-force versions.
+
+Defined results, for every stage. Null in any column: kept as it is; a null text is an empty one, has a score, has
+no copies, no personal data and no words, and is one end id when packed; a null source is a source of its own; a
+null doc_id takes part. Empty texts: as null ones. Very long texts: whole. Ties: as each stage's operator says.
+Repeated rows: copies, of which one stays after the second stage (of texts without words, all). Empty tables: no
+rows. Further columns, whatever their names, go through all stages but the last untouched.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ PII_KEY = "pipeline-registered-query"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality classifier rejects."""
+    """Drop what the quality classifier rejects; a text without words has the score of the vector of zeros."""
     rows, restored = shielded(docs, ["doc_id", "text"])
     return restored(quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("score") >= LEAST_QUALITY))
 
