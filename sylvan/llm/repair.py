@@ -44,8 +44,6 @@ SHARE, LEAST = 4, 8
 PASSES = 24
 #: Symbols that the file format can tell apart.
 MOST_SYMBOLS = 1 << 24
-#: Cells of a table over left and right symbols, beyond which pairs are found by binary search.
-TABLE = 1 << 23
 #: Tokens after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1_000_000
 SHARDS = "part int, shard int, first_doc long, last_doc long, n_docs long, n_tokens long, payload binary"
@@ -104,73 +102,52 @@ class Shard:
         return self.expand(seq[a:b])[skip : skip + stop - start]
 
 
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Which of the places, going left to right in each run of neighbours, are taken without overlaps."""
-    if not len(at):
-        return np.empty(0, bool)
-    place = np.arange(len(at), dtype=np.int32)
-    start = place.copy()
-    start[1:][at[1:] == at[:-1] + 1] = 0
-    return ((place - np.maximum.accumulate(start)) & 1) == 0
+def _alone(at: np.ndarray, follow: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The numbers of the places that each pair would take if there were no others: every second one of its own runs.
 
-
-def _alone(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The numbers of the places that each pair would take if there were no others: every second one of its own runs."""
+    ``follow`` is the place after each one.
+    """
     start = np.ones(len(at), bool)
-    start[1:] = (at[1:] != at[:-1] + 1) | (rank[1:] != rank[:-1])
+    start[1:] = (at[1:] != follow[:-1]) | (rank[1:] != rank[:-1])
     place = np.arange(len(at))
     return np.flatnonzero((place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0)
 
 
-def _matched(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _matched(at: np.ndarray, follow: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the places are taken without overlaps when, where two meet, the pair of lower rank goes first."""
     taken, left = np.zeros(len(at), bool), np.arange(len(at))
     for _ in range(PASSES):
         if not len(left):
             return taken
-        a, r = at[left], rank[left]
-        near = a[1:] == a[:-1] + 1
+        near, r = at[left[1:]] == follow[left[:-1]], rank[left]
         after, before = np.append(near, False), np.append(False, near)
         best = ~(before & (np.append(0, r[:-1]) < r)) & ~(after & (np.append(r[1:], 0) < r))
         taken[left[best]] = True
         left = left[~(best | after & np.append(best[1:], False) | before & np.append(False, best[:-1]))]
-    taken[left[_apart(at[left])]] = True  # what is still undecided in a long chain of ever rarer pairs
+    if len(left):  # what is still undecided in a long chain of ever rarer pairs: left to right
+        place = np.arange(len(left))
+        start = np.append(True, at[left[1:]] != follow[left[:-1]])
+        taken[left[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0]] = True
     return taken
 
 
-def _occurrences(seq: np.ndarray, last: np.ndarray, chosen: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a chosen pair begins, and which one; chosen is sorted."""
-    a, b = chosen >> 32, chosen & 0xFFFFFFFF
-    row, column = np.full(top, -1, np.int32), np.full(top, -1, np.int32)
-    row[a], column[b] = 0, 0
-    lefts, rights = np.flatnonzero(row == 0), np.flatnonzero(column == 0)
-    row[lefts], column[rights] = np.arange(len(lefts)), np.arange(len(rights))
-    r, c = row[seq[:-1]], column[seq[1:]]
-    at = np.flatnonzero(((r | c) >= 0) & ~last[:-1])
-    if len(lefts) * len(rights) <= TABLE:
-        table = np.full((len(lefts), len(rights)), -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
-        table[row[a], column[b]] = np.arange(len(chosen))
-        rule = table.reshape(-1)[r[at] * np.int32(len(rights)) + c[at]]
-        hit = rule >= 0
+def _grouped(seq: np.ndarray, after: np.ndarray, place: np.ndarray, top: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that begin at these places ``least`` times: (pair, how often, its places in order, pair after pair)."""
+    left, right = seq[place].astype(np.int64), seq[after[place]]
+    bits, room = int(top).bit_length(), len(seq).bit_length()
+    if 2 * bits + room <= 63:  # pair and place in one number
+        rows = ((left << bits | right) << room) | place
+        rows.sort()
+        place, key = rows & ((1 << room) - 1), rows >> room
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        pair = (key[edge] >> bits << 32) | (key[edge] & ((1 << bits) - 1))
     else:
-        key = (seq[at].astype(np.int64) << 32) | seq[at + 1]
-        rule = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = chosen[rule] == key
-    return at[hit], rule[hit]
-
-
-def _counts(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that occur ``least`` times, sorted, and how often."""
-    keys.sort()
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    count = np.diff(np.append(edge, len(keys)))
-    return keys[edge[count >= least]], count[count >= least]
-
-
-def _keys(seq: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The pairs that begin at these places, without those over the end of a document."""
-    at = at[~last[at]]
-    return (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        order = np.lexsort((place, right, left))
+        place, key = place[order], (left[order] << 32) | right[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        pair = key[edge]
+    count = np.diff(np.append(edge, len(place)))
+    return pair[count >= least], count[count >= least], place[np.repeat(count >= least, count)]
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, least: int = LEAST, share: int = SHARE) -> Shard:
@@ -181,54 +158,75 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: list, least: int
     last[np.cumsum(doc_tokens)[doc_tokens > 0] - 1] = True
     rules, lengths, top = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], base
     least = max(2, least)
-    pair, count = _counts(_keys(seq, last, np.arange(len(seq))), least)
-    while len(pair) and top < MOST_SYMBOLS:
-        often = np.flatnonzero(count >= count.max() / share)
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[: MOST_SYMBOLS - top]])
-        chosen = pair[often]
-        rank = np.empty(len(often), np.int64)
-        rank[np.argsort(-count[often], kind="stable")] = np.arange(len(often))
-        at, rule = _occurrences(seq, last, chosen, top)
-        some = _alone(at, rule)
-        at, rule = at[some], rule[some]
-        few = np.bincount(rule, minlength=len(chosen)) < least
+    # symbols that a replacement takes out leave their place empty; these are the places around each one, end for none
+    end = len(seq)
+    after, before = np.arange(1, end + 2, dtype=np.int32), np.arange(-1, end, dtype=np.int32)
+    after[:-1][last] = end
+    before[1:][last] = end
+    before[0] = end
+    seq, mark = np.append(seq, -1), np.zeros(end + 1, bool)
+    # frequent pairs by number: the pair, how often it occurs now, and where the places are at which it was found;
+    # number tells which of them is still there
+    pair, count, found = _grouped(seq, after, np.flatnonzero(~last), top, least)
+    first, size = np.cumsum(count) - count, count.copy()
+    number = np.full(end + 1, -1, np.int32)
+    number[found] = np.repeat(np.arange(len(pair)), size)
+    places, used = np.empty(3 * end + 1, np.int32), len(found)  # a replacement makes two places at most
+    places[:used] = found
+    while len(count) and count.max() >= least and top < MOST_SYMBOLS:
+        often = np.flatnonzero(count >= max(least, count.max() / share))
+        often = often[np.argsort(-count[often], kind="stable")[: MOST_SYMBOLS - top]]
+        n = size[often]
+        order = np.repeat(np.arange(len(often)), n)
+        at = places[np.repeat(first[often] - np.cumsum(n) + n, n) + np.arange(len(order))]
+        there = number[at] == often[order]
+        rows = (at[there].astype(np.int64) << 32) | order[there]
+        rows.sort()
+        at, order = rows >> 32, rows & 0xFFFFFFFF
+        some = _alone(at, after[at], order)
+        at, order = at[some], order[some]
+        few = np.bincount(order, minlength=len(often)) < least
         if few.any():  # pairs that overlap themselves, as in a run of one symbol
             count[often[few]] = 0
-            at, rule = at[~few[rule]], rule[~few[rule]]
-        taken = _matched(at, rank[rule])
-        at, rule = at[taken], rule[taken]
-        enough = np.bincount(rule, minlength=len(chosen)) >= least
-        at, rule = at[enough[rule]], rule[enough[rule]]
-        names, new = np.flatnonzero(enough), (np.cumsum(enough) - 1)[rule]
-        if len(names):
-            both = np.stack([chosen[names] >> 32, chosen[names] & 0xFFFFFFFF], axis=1)
-            known = np.concatenate([np.ones(base, np.int64), *lengths])
-            gone = np.zeros(len(seq) + 1, bool)
-            gone[at] = gone[at + 1] = gone[at - 1] = True  # place -1 is the one too many at the end
-            lost, times = _counts(_keys(seq, last, np.flatnonzero(gone[:-1])), 1)
-            place = np.minimum(np.searchsorted(pair, lost), len(pair) - 1)
-            there = pair[place] == lost
-            count[place[there]] = np.maximum(count[place[there]] - times[there], 0)
-            seq[at] = top + new
-            last[at] = last[at + 1]
-            keep = np.ones(len(seq), bool)
-            keep[at + 1] = False
-            seq, last = seq[keep], last[keep]
-            made = np.zeros(len(seq) + 1, bool)
-            fresh = np.flatnonzero(seq >= top)
-            made[fresh] = made[fresh - 1] = True
-            more, often_made = _counts(_keys(seq, last, np.flatnonzero(made[:-1])), least)
-            pair, count = np.concatenate([pair, more]), np.concatenate([count, often_made])
-            order = np.argsort(pair, kind="stable")
-            pair, count = pair[order], count[order]
-            rules.append(both)
-            lengths.append(known[both].sum(axis=1))
-            top += len(names)
-        pair, count = pair[count >= least], count[count >= least]
-    ends = np.flatnonzero(last)
-    symbols = np.zeros(len(doc_tokens), np.int64)
-    symbols[doc_tokens > 0] = np.diff(np.concatenate([[-1], ends]))
-    return Shard(base, np.concatenate(rules), np.concatenate(lengths), doc_ids, doc_tokens, symbols, seq)
+            at, order = at[~few[order]], order[~few[order]]
+        taken = _matched(at, after[at], order)
+        at, order = at[taken], order[taken]
+        enough = np.bincount(order, minlength=len(often)) >= least
+        at, order = at[enough[order]], order[enough[order]]
+        if not len(at):
+            continue
+        new, names = (np.cumsum(enough) - 1)[order], often[enough]
+        both = np.stack([pair[names] >> 32, pair[names] & 0xFFFFFFFF], axis=1)
+        known = np.concatenate([np.ones(base, np.int64), *lengths])
+        out = after[at]
+        mark[out] = True
+        ahead = before[at]
+        gone = np.concatenate([at, out, ahead[~mark[ahead] & (ahead != end)]])
+        mark[out] = False
+        was = number[gone]
+        count -= np.minimum(np.bincount(was[was >= 0], minlength=len(count)), count)
+        number[gone] = -1
+        seq[at], seq[out] = top + new, -1
+        beyond = after[out]
+        after[at] = beyond
+        before[beyond] = at
+        mark[at] = True
+        ahead = before[at]
+        made = np.concatenate([at, ahead[~mark[ahead] & (ahead != end)]])
+        mark[at] = False
+        top += len(names)
+        more, times, found = _grouped(seq, after, made[after[made] != end], top, least)
+        if len(more):
+            number[found] = len(count) + np.repeat(np.arange(len(more)), times)
+            first, size = np.concatenate([first, used + np.cumsum(times) - times]), np.concatenate([size, times])
+            pair, count = np.concatenate([pair, more]), np.concatenate([count, times])
+            places[used : used + len(found)] = found
+            used += len(found)
+        rules.append(both)
+        lengths.append(known[both].sum(axis=1))
+    there = seq >= 0
+    symbols = np.diff(np.append(0, np.cumsum(there[:-1]))[np.append(0, np.cumsum(doc_tokens))])
+    return Shard(base, np.concatenate(rules), np.concatenate(lengths), doc_ids, doc_tokens, symbols, seq[there])
 
 
 def dump(s: Shard) -> bytes:
