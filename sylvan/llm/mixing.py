@@ -76,12 +76,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     pick = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("_turn", (F.col("_rank") % n).cast("int")).withColumn("_w", F.element_at(pick, F.col("_turn") + 1)).withColumn("_cap", F.lit(float(cap)) * F.col("source_size"))
     ranked = running(ranked.withColumn("_fill", F.col("_cap") / F.col("_w")), ["_fill", "_rank"], {"_full": "_cap", "_before": "_w"})
-    all_of = ranked.agg(F.sum("source_size").alias("_words"), F.sum("_w").alias("_all_w"))
-    ranked = ranked.crossJoin(F.broadcast(all_of))  # one row
-    ranked = ranked.withColumn("_level", (F.col("_words") * F.lit(float(share)) - F.col("_full")) / (F.col("_all_w") - F.col("_before")))
-    level = ranked.where(F.col("_level") <= F.col("_fill")).agg(F.min(F.struct("_fill", "_rank", "_level"))["_level"].alias("_open"))
-    target = F.least("_cap", F.coalesce(F.col("_open") * F.col("_w"), F.col("_cap")))
-    return ranked.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"), "_turn")
+    ranked = cut(ranked)
+    words, weight = ranked.agg(F.sum("source_size"), F.sum("_w")).first()
+    level = (F.lit(float(words or 0) * float(share)) - F.col("_full")) / (F.lit(float(weight or 0)) - F.col("_before"))
+    first = ranked.withColumn("_level", level).where(F.col("_level") <= F.col("_fill")).agg(F.min(F.struct("_fill", "_rank", "_level"))["_level"]).first()[0]
+    target = F.col("_cap") if first is None else F.least("_cap", F.lit(first) * F.col("_w"))
+    return ranked.select("source", "source_size", target.alias("target"), "_turn")
 
 
 def plan_mix(
