@@ -11,10 +11,15 @@ A document is the mean of its words' unit vectors, the mean of its own index vec
 network with one hidden layer is fitted in numpy on the bounded labelled sample, and a temperature,
 fitted on a fifth of the sample that the network doesn't see, makes its output a probability.
 
-Defined results. Null or empty text: the vector of zeros, which has a score too. Null label or doc_id: not
-learnt from. Repeated rows: scored alike. No labels of both kinds: every score is the share of 1 among
-those there are, 0.5 without any. Empty table: no rows. Other columns are carried along by ``classify``; one
-that is named score gives way.
+Buckets are shared: with a vocabulary of millions of words, a bucket's vector sums about a hundred of them, of
+which the frequent ones weigh most.
+
+Defined results. Null or empty text: the vector of zeros, which has a score too. Very long texts: whole, each by
+itself in memory. Null label or doc_id: not learnt from; of several labels of an id the greatest counts, of several
+texts the least. Ties: equal texts have equal scores, and a score of the threshold is predicted 1. Repeated rows:
+scored alike. No labels of both kinds: every score is the share of 1 among those there are, 0.5 without any.
+Empty table: no rows. Other columns, whatever their names, are carried along by ``classify``; one that is named
+score gives way.
 """
 
 from __future__ import annotations

@@ -8,9 +8,10 @@ A word is a run of bytes other than space and \\x09-\\x0D. Repeated words are th
 that occur twice or more in the text, found by hashing each window (64 bits over the five words' 64-bit
 hashes) and only for the texts with a repeated hash by sorting the windows.
 
-Defined results. Null text: every count 0, fails the base rule. Empty text: the same. Repeated rows and
-ties: each row on its own. Empty table: no rows. Other columns are carried along; one with the name of a
-column made here gives way to it.
+Defined results. Null text: every count 0, fails the base rule. Empty text: the same. Very long texts: whole, in
+the memory of their row. Repeated rows and ties: each row on its own; a ratio on its bound passes. Empty table:
+no rows. Other columns, whatever their names, are carried along; one with the name of a column made here gives
+way to it.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ broadcast. A cell sends on k rows a query, which a window cuts to the final k.
 Defined results. Vectors that are null, or hold null or non-finite components, and rows with a null id take
 no part. Vectors meet only vectors of their length. Rows with a query's own id aren't its candidates. A
 repeated query row is a query of its own, a repeated candidate row a candidate of its own. Ties go to the
-smaller id. Scores beyond 64 bits are held at the ends of that range. Empty table: no rows.
+smaller id. Scores beyond 64 bits are held at the ends of that range. Very long vectors: whole, in blocks of as
+many. Empty table: no rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -126,6 +127,8 @@ def _cell(k: int):
             blocks = unpack(candidates)
             edges = [*range(0, dim, GROUP), dim]
             tails = [[np.sqrt((r[e:] ** 2).sum(axis=0)) for e in edges] for _, _, r in blocks]
+            # the longest vectors first: they are likely to raise the floor under which others are cut
+            blocks, tails = zip(*sorted(zip(blocks, tails), key=lambda x: -float(x[1][0].max())))
             largest = max(float(t[0].max()) for t in tails)
             for number, own, rows in unpack(queries):
                 for j in range(len(own)):

@@ -10,10 +10,12 @@ the last quarter, isotonic regression maps their output to probabilities.
 The fitted model has a fixed size (trees, calibration knots, a lexicon of at most ``LEARNT`` words' hashes)
 and alone is broadcast. Scoring is one narrow pass.
 
-Defined results. Null or empty text: all features 0, which have a score too. Null label or doc_id: not learnt
-from. Repeated rows: scored alike. No labels of both kinds: every score is the share of 1 among those there
-are, 0.5 without any. Empty table: no rows. Other columns are carried along by ``classify``; one that is
-named score gives way.
+Defined results. Null or empty text: all features 0, which have a score too. Very long texts: whole, each by itself
+in memory. Null label or doc_id: not learnt from; of several labels of an id the greatest counts, of several texts
+the least. Ties: words with equal odds go by hash, equal texts have equal scores, and a score of the threshold is
+predicted 1. Repeated rows: scored alike. No labels of both kinds: every score is the share of 1 among those
+there are, 0.5 without any. Empty table: no rows. Other columns, whatever their names, are carried along by
+``classify``; one that is named score gives way.
 """
 
 from __future__ import annotations
