@@ -60,7 +60,7 @@ def by_likelihood(names: list[str], seqs: list[str], protein: L.Model | None = N
 
 
 def _gathered(seqs: DataFrame, key: str) -> DataFrame:
-    return seqs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("taxon", "seq"))).alias("rows"))
+    return seqs.groupBy(F.col(key).cast("string").alias(key)).agg(F.array_sort(F.collect_list(F.struct("taxon", "seq"))).alias("rows"))
 
 
 def estimate_trees(seqs: DataFrame, estimator: TreeEstimator = by_neighbour_joining, key: str = "locus") -> DataFrame:
