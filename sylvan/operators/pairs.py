@@ -15,6 +15,11 @@ from sylvan.session import cut
 BLOCK, GROUP, LEAST_GROUPS = 256, 4, 32
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """By the pair of groups to as many tasks as the session shuffles to: what is made of few bytes is much, so they aren't merged into fewer."""
+    return side.repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "h")
+
+
 def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, d) for every pair of (id, x), from blocks of points.
 
@@ -55,7 +60,7 @@ def pairwise_euclid(points: DataFrame, block: int = BLOCK) -> DataFrame:
     own = blocks.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int"))
     left = own.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(groups - 1))))
     right = own.withColumn("h", F.col("g")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("h")))).select("g", "h", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"))
-    met = left.join(right, ["g", "h"]).where("g < h or b <= b2").select("b", "b2", "ids", "x", "ids2", "x2")
+    met = _dealt(left).join(_dealt(right), ["g", "h"]).where("g < h or b <= b2").select("b", "b2", "ids", "x", "ids2", "x2")
     return met.mapInArrow(meet, "i long, j long, d double")
 
 
@@ -71,7 +76,7 @@ def every_pair(rows: DataFrame, key: str, group: int = 64) -> DataFrame:
     left = own.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(groups - 1))))
     right = own.select(F.col("x").alias("y"), F.col("g").alias("h"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("g"))
     first = F.col(f"x.{key}") < F.col(f"y.{key}")
-    met = left.join(right, ["g", "h"]).where((F.col("g") < F.col("h")) | first)
+    met = _dealt(left).join(_dealt(right), ["g", "h"]).where((F.col("g") < F.col("h")) | first)
     return met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
