@@ -59,8 +59,14 @@ def by_likelihood(names: list[str], seqs: list[str], protein: L.Model | None = N
     return tree, L.fit_lengths(tree, dict(zip(names, seqs)), _model(seqs, protein), rounds=1)
 
 
+def _jobs(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as the session shuffles to: jobs are long however few bytes they are, so they aren't merged into fewer tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def _gathered(seqs: DataFrame, key: str) -> DataFrame:
-    return seqs.groupBy(F.col(key).cast("string").alias(key)).agg(F.array_sort(F.collect_list(F.struct("taxon", "seq"))).alias("rows"))
+    rows = _jobs(seqs.select(F.col(key).cast("string").alias(key), "taxon", "seq"), key)
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("taxon", "seq"))).alias("rows"))
 
 
 def estimate_trees(seqs: DataFrame, estimator: TreeEstimator = by_neighbour_joining, key: str = "locus") -> DataFrame:
@@ -87,7 +93,7 @@ def ml_distances(seqs: DataFrame, rates: list[float] = (1.0,), protein: L.Model
             out = [L.ml_distance(x, y, _model([x, y], protein), np.array(rates)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array([t for t, _ in out], pa.float64()), pa.array([v for _, v in out], pa.float64())], names=["locus", "a", "b", "distance", "variance"])
 
-    return a.join(b, "locus").where("a < b").select("locus", "a", "b", "x", "y").mapInArrow(run, "locus string, a string, b string, distance double, variance double")
+    return _jobs(a.join(b, "locus").where("a < b").select("locus", "a", "b", "x", "y"), "locus", "a", "b").mapInArrow(run, "locus string, a string, b string, distance double, variance double")
 
 
 def site_scores(seqs: DataFrame, trees: DataFrame, key: str = "locus", protein: L.Model | None = None) -> DataFrame:
@@ -102,7 +108,7 @@ def site_scores(seqs: DataFrame, trees: DataFrame, key: str = "locus", protein:
                 out.append(L.log_likelihood(tree, data, _model(list(data.values()), protein)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[key, "tree", "lnl"])
 
-    return _gathered(seqs, key).join(trees, key).select(key, "tree", "rows", "newick").mapInArrow(run, f"{key} string, tree string, lnl double")
+    return _jobs(_gathered(seqs, key).join(trees, key).select(key, "tree", "rows", "newick"), key, "tree").mapInArrow(run, f"{key} string, tree string, lnl double")
 
 
 def simulate(trees: DataFrame, columns: int, seed: int, model: Callable[[], L.Model] = L.equal_rates) -> DataFrame:
