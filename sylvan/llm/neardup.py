@@ -221,9 +221,8 @@ def _as_binary(fp: np.ndarray) -> pa.Array:
 
 
 def _combined(sig: DataFrame, shared: bool) -> DataFrame:
-    """(key, x, y), a fingerprint's halves, from some thousands of documents of a task at a time.
-
-    Either a row for each key, that of its least fingerprint, or all rows of keys that several nodes share.
+    """From some thousands of documents of a task at a time: either (key, x, y), a row for each key with the halves
+    of its least fingerprint, or (key, fp), all rows of keys that several nodes share.
     """
 
     def emit(keys: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
@@ -234,6 +233,8 @@ def _combined(sig: DataFrame, shared: bool) -> DataFrame:
         k, node = key.reshape(-1)[order], node[order]
         again = np.concatenate([[False], k[1:] == k[:-1]]) if len(k) else np.empty(0, bool)
         keep = again | np.append(again[1:], False) if shared and len(k) else ~again
+        if shared:
+            return pa.RecordBatch.from_pydict({"key": pa.array(k[keep]), "fp": _as_binary(fp[node[keep]])})
         return pa.RecordBatch.from_pydict({"key": pa.array(k[keep]), "x": pa.array(fp[node[keep], 0].view(np.int64)), "y": pa.array(fp[node[keep], 1].view(np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +252,14 @@ def _combined(sig: DataFrame, shared: bool) -> DataFrame:
         if fps:
             yield emit(keys, fps)
 
-    return in_arrow(sig.where("fp is not null").select("fp", "bands"), run, "key long, x long, y long")
+    return in_arrow(sig.where("fp is not null").select("fp", "bands"), run, "key long, fp binary" if shared else "key long, x long, y long")
 
 
 def members(sig: DataFrame) -> DataFrame:
-    """(key, fp) of all nodes that share a band's key with another node."""
+    """(key, fp) of all nodes that share a band's key with another node.
+
+    No task has two Python passes at once: each would be a worker of its own, and workers stay until the session ends.
+    """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted; the last row of a batch waits for the next one."""
@@ -274,13 +278,8 @@ def members(sig: DataFrame) -> DataFrame:
             last = rows[-1:]
             yield pa.RecordBatch.from_pydict({"key": pa.array(rows[emit, 0]), "fp": _as_binary(rows[emit, 1:])})
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1) if batch.num_rows else np.empty((0, 3), np.int64)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(rows[:, 0]), "fp": _as_binary(rows[:, 1:])})
-
     sent = _combined(sig, False).repartition("key").sortWithinPartitions("key", "x", "y")
-    return in_arrow(sent, runs, "key long, fp binary").union(in_arrow(_combined(sig, True), plain, "key long, fp binary"))
+    return in_arrow(sent, runs, "key long, fp binary").union(_combined(sig, True))
 
 
 class Filter:
