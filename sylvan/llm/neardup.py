@@ -12,10 +12,11 @@ Linking. Equal word sequences are one node (128-bit fingerprint), so copies cost
 that share a band of coordinates form a bucket; its members are first checked against one hub, the member
 with most company in all its buckets, so a group of n near copies needs about n checks and not n**2. Every
 link is verified by the exact similarity. Members of buckets that are then still in several components are
-joined exactly, by a prefix and position filter over their windows, against all others in such buckets, so
-that no link that a bucket shows is lost; this costs rows only for pairs that may be links, not for all
-pairs of a bucket, and a window that very many texts share is dealt to several tasks. Links make classes by
-connected components.
+joined exactly, by a prefix and position filter over their windows and a bound on their difference, against all
+others in such buckets, so that no link that a bucket shows is lost; this costs rows only for pairs that may be
+links, not for all pairs of a bucket, and a window that very many texts share is dealt to several tasks. Links make
+classes by connected components. What isn't saved: in a family of texts around the threshold, those without a link
+are still compared, inside the join, with every member whose prefix shares a window with theirs.
 
 Scale. Signatures are one narrow pass. Band keys are combined before their exchange: within a task, nodes
 that share a key are marked and only one of them is sent on, so a bucket with a third of all texts leaves a
@@ -59,6 +60,8 @@ FILTER_BITS, SLICE_BITS = 1 << 27, 1 << 16
 COUNTERS, COUNTER_SLICES = 1 << 20, 256
 #: Texts that share a window, and times the mean counter, above which the window is dealt to several tasks, at most so many.
 HOT, HOT_TIMES, MOST_DEALT = 2048, 8, 64
+#: 64-bit numbers of a set's parity sketch, which bounds the difference of two sets from below.
+SKETCH = 16
 _SEEDS = [T.seeded(s) for s in range(8)]
 
 
@@ -369,7 +372,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Tr
         if not more.isEmpty():
             both = cut(links.union(more))
             free(links)
-            links, label = both, components(both)
+            links, label = both, _joined(label, more)
         free(rest, more)
     free(undecided, pairs, texts)
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
@@ -379,6 +382,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Tr
     return sig.select("doc_id", "fp"), joined
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) with further links, over which only components meet; a node that had no label was one by itself."""
+    for c in ("a", "b"):
+        links = links.join(label.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left")
+    ends = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    top = components(ends)
+    above = top.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    moved = label.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    return cut(moved.union(top.join(label, "node", "left_anti")))
+
+
 def _undecided(member: DataFrame, label: DataFrame) -> DataFrame:
     """(fp, n, comp, minor) of the nodes in buckets with several components; minor: outside a bucket's largest one."""
     m = cut(member.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("comp")))
@@ -425,6 +439,17 @@ def window_counts(texts: DataFrame, weighted: bool = True) -> np.ndarray:
     return out
 
 
+def parity_sketches(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH) numbers: a bit for each value of an element's hash, set if the set has an odd number of such elements.
+
+    Common elements of two sets cancel out, so their sketches differ in at most as many bits as the sets in elements.
+    """
+    bits = 64 * SKETCH
+    place = T.mix(element ^ _SEEDS[7]) % np.uint64(bits)
+    odd = np.bincount(owner * bits + place.astype(np.int64), minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.int64)
+
+
 def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float, weighted: bool = True) -> DataFrame:
     """(a, b): all pairs of nodes (fp, n, comp, minor) that can be this similar, one of them minor, in different components.
 
@@ -433,14 +458,17 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float, weighted
     first common window is among the first n - ceil(s n) + 1 of the larger and the first n - ceil(2s n / (1 + s)) + 1
     of the smaller, and from its place on both must have enough windows left. A set that changed in many
     places begins with windows that nobody else has, so it meets nobody; only these prefixes, without the
-    windows that occur once, are shuffled. The rows of a window in very many texts go to several tasks: each
+    windows that occur once, are shuffled. Of the pairs that meet, those pass whose parity sketches differ in no more
+    bits than such sets may in windows: each window of only one set changes one bit, so no link is lost, while in a
+    family around the threshold hardly more pass than are links. The rows of a window in very many texts go to several tasks: each
     larger set to one of them, the smaller sets' rows to all.
     """
+    sketch = [f"s{k}" for k in range(SKETCH)]
     mine = cut(texts.join(nodes, "fp").select("text", "fp", "comp", "minor"))
     counts = mine.sparkSession.sparkContext.broadcast(window_counts(mine, weighted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["window", "fp", "comp", "minor", "n", "place", "salt", "larger", "smaller"]
+        names = ["window", "fp", "comp", "minor", "n", "place", "salt", "larger", "smaller", *sketch]
         hot = max(HOT, HOT_TIMES * float(counts.value.mean()))
         for batch in batches:
             for a, b, v, t in _window_sets(batch, 0, weighted):
@@ -462,14 +490,16 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float, weighted
                 larger = np.concatenate([np.ones(len(at), bool), np.zeros(len(dealt), bool)])
                 smaller = np.concatenate([index[at] & (tasks[at] == 1), np.ones(len(dealt), bool)])
                 of = pa.array(t[rows] + a)
-                yield pa.RecordBatch.from_arrays([pa.array(v[rows].view(np.int64)), *(batch.column(c).take(of) for c in (1, 2, 3)), pa.array(n[t[rows]]), pa.array(place[rows]), pa.array(salt.astype(np.int32)), pa.array(larger), pa.array(smaller)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(v[rows].view(np.int64)), *(batch.column(c).take(of) for c in (1, 2, 3)), pa.array(n[t[rows]]), pa.array(place[rows]), pa.array(salt.astype(np.int32)), pa.array(larger), pa.array(smaller), *(pa.array(x) for x in parity_sketches(v, t, b - a)[t[rows]].T)], names=names)
 
-    rows = cut(in_arrow(mine, run, "window long, fp binary, comp binary, minor boolean, n long, place long, salt int, larger boolean, smaller boolean"))
+    rows = cut(in_arrow(mine, run, "window long, fp binary, comp binary, minor boolean, n long, place long, salt int, larger boolean, smaller boolean" + "".join(f", {c} long" for c in sketch)))
     x, y = rows.where("larger").alias("x"), rows.where("smaller").alias("y")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    differ = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in sketch)
+    alike = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) + 1e-6
     order = (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.fp") > F.col("y.fp"))
-    meet = (F.col("x.window") == F.col("y.window")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.minor") | F.col("y.minor")) & order & (most >= need)
+    meet = (F.col("x.window") == F.col("y.window")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.minor") | F.col("y.minor")) & order & (most >= need) & alike
     out = cut(x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
     free(mine, rows)
     return out
