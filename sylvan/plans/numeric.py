@@ -213,7 +213,7 @@ QUERIES = {
     "weighted_cluster": _linked("weighted"),
     "centroid_cluster": _linked("centroid"),
     "median_cluster": _linked("median"),
-    "kmeans_cluster": _clusters(lambda m: cluster.kmeans(cluster.classical(m, 3), 10, 7)),
+    "kmeans_cluster": kmeans_cluster,
     "mixture_cluster": _clusters(lambda m: cluster.gaussian_mixture(cluster.classical(m, 3), 10, 7)),
     "tsne_embedding": _embedding("tsne"),
     "geodesic_distance": geodesic_distance,
