@@ -214,7 +214,7 @@ QUERIES = {
     "centroid_cluster": _linked("centroid"),
     "median_cluster": _linked("median"),
     "kmeans_cluster": kmeans_cluster,
-    "mixture_cluster": _clusters(lambda m: cluster.gaussian_mixture(cluster.classical(m, 3), 10, 7)),
+    "mixture_cluster": mixture_cluster,
     "tsne_embedding": _embedding("tsne"),
     "geodesic_distance": geodesic_distance,
     "cmds_embedding": cmds_embedding,
