@@ -74,6 +74,11 @@ def kelley_penalty(dm: DataFrame, partitions: DataFrame) -> DataFrame:
     q = partitions.select("k", F.col("elem").alias("j"), F.col("grp").alias("h"))
     n = partitions.select("elem").distinct().agg(F.count("*").alias("n"))
     inside = dm.join(p, "i").join(q, ["k", "j"]).where("grp = h").groupBy("k", "grp").agg(F.sum("d").alias("s"))
+    return penalties(inside, n)
+
+
+def penalties(inside: DataFrame, n: DataFrame) -> DataFrame:
+    """(k, spread, penalty) from the sums (k, grp, s) of each group and the number n of elements, one row."""
     spread = inside.groupBy("k").agg(F.avg("s").alias("s")).crossJoin(F.broadcast(n)).where("k > 1 and k < n").select("k", "n", (F.col("s") / (F.lit(0.5) * F.col("n") * (F.col("n") - 1))).alias("spread"))
     ends = spread.agg(F.min("spread").alias("lo"), F.max("spread").alias("hi"))
     norm = F.coalesce(F.try_divide(F.col("n") - 2, F.col("hi") - F.col("lo")), F.lit(0.0)) * (F.col("spread") - F.col("lo")) + 1
